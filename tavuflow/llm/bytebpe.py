@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tavuflow.llm.codepoints import blocks, mix, run_hashes, to_codes, utf8_sizes, whitespace_table
+from tavuflow.llm.codepoints import assigned, blocks, mix, run_hashes, to_codes, utf8_sizes, whitespace_table
 
 DEFAULT_DIR = "/opt/tokenizers"
 DEFAULT_NAME = "byte_bpe_50k"
@@ -90,7 +90,7 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     out = np.full(0x110000, _OTHER, np.uint8)
-    for cp in range(0x110000):
+    for cp in assigned():
         kind = unicodedata.category(chr(cp))[0]
         if kind == "L":
             out[cp] = _LETTER

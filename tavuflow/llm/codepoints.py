@@ -12,6 +12,15 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 21
 
 
+#: Ranges of code points that hold all assigned characters but private ones: tables need to look at no others.
+ASSIGNED = (range(0x0, 0xD800), range(0xF900, 0x33480), range(0xE0000, 0xE0200))
+
+
+def assigned() -> Iterator[int]:
+    for part in ASSIGNED:
+        yield from part
+
+
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about size bytes each (at least one row)."""
     if not batch.num_rows:

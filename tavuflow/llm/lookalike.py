@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tavuflow.llm.codepoints import blocks, to_arrow, to_codes, valid_rows
+from tavuflow.llm.codepoints import assigned, blocks, to_arrow, to_codes, valid_rows
 
 # Letters of other scripts that are drawn like a Latin one, and the Latin letters.
 ALIKE = {
@@ -91,8 +91,8 @@ class Tables:
         self.rank = np.zeros(_LIMIT, np.uint8)  # canonical combining class
         pool: list[int] = []
         pairs: dict[tuple[int, int], int] = {}
-        for cp in range(_LIMIT):
-            if 0xD800 <= cp < 0xE000 or _HANGUL[0] <= cp < _HANGUL[1]:
+        for cp in assigned():
+            if _HANGUL[0] <= cp < _HANGUL[1]:
                 continue
             ch = chr(cp)
             self.rank[cp] = unicodedata.combining(ch)

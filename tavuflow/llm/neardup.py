@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavuflow.llm.codepoints import blocks, mix, run_hashes, to_codes, whitespace_table, word_runs
+from tavuflow.llm.codepoints import assigned, blocks, mix, run_hashes, to_codes, whitespace_table, word_runs
 from tavuflow.llm.lookalike import normalize_codes
 from tavuflow.session import bounded, materialize
 
@@ -37,9 +37,7 @@ _CHUNK = 40_000
 @lru_cache(maxsize=1)
 def _lower() -> tuple[np.ndarray, dict[int, list[int]]]:
     one, many = np.arange(0x110000, dtype=np.uint32), {}
-    for cp in range(0x110000):
-        if 0xD800 <= cp < 0xE000:
-            continue
+    for cp in assigned():
         low = chr(cp).lower()
         if len(low) == 1:
             one[cp] = ord(low)

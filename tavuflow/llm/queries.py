@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavuflow.llm import budget, bytebpe, langnames, lookalike, neardup, packing, terms
-from tavuflow.session import materialize, table
+from tavuflow.llm import budget, bytebpe, langnames, language, lookalike, neardup, packing, quality, terms
+from tavuflow.session import bounded, materialize, table
 
 CAPACITY = 2048
 
@@ -70,6 +70,41 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(counted, "doc_id", "n_tokens", CAPACITY)
 
 
+def typed_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and type of each article."""
+    return quality.text_types(table(spark, d, "articles"), "article_id", "Cleaned_Text", langnames.language_code(F.col("lang")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return typed_articles(spark, d).filter("n_lines > 0 and prose < 0.5").select("article_id").distinct()
+
+
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "articles").select("article_id", F.col("Title").alias("title"))
+    return typed_articles(spark, d).join(titles, "article_id")
+
+
+def languages(spark: SparkSession, d: str) -> DataFrame:
+    """article_id, label, language, confidence and segments of the articles that are prose of at least 200 characters."""
+    articles = table(spark, d, "articles").select("article_id", langnames.language_code(F.col("lang")).alias("label"), "Cleaned_Text")
+    prose = materialize(typed_articles(spark, d).filter("prose >= 0.5").select("article_id"), "prose")
+    long = articles.filter(F.length("Cleaned_Text") >= 200)
+    model = language.fit(*language.sample_texts(long.join(bounded(prose), "article_id", "left_semi"), "article_id", "Cleaned_Text", "label"))
+    told = language.identify(long.select("article_id", "Cleaned_Text"), "article_id", "Cleaned_Text", model)
+    return told.join(bounded(prose), "article_id", "left_semi").join(articles.select("article_id", "label"), "article_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    told = materialize(languages(spark, d), "languages").filter("language is not null")
+    main = told.filter("label is null or label <> language").select("article_id", F.lit(-1).alias("line_no"), F.col("language").alias("lang"))
+    lines = told.select("article_id", F.explode("segments").alias("s")).select("article_id", "s.line_no", F.col("s.language").alias("lang"))
+    return main.union(lines).distinct()
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups]
+    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p1_statistics, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups]
     return {f.__name__: f for f in found}
