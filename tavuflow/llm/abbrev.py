@@ -4,16 +4,18 @@ from __future__ import annotations
 
 # Short forms (lower case, without their last stop) that stand before what they belong to.
 INNER = """
-prof dr doc doç bkz yrd uzm av örn orn yy st mr mrs ms jr sr vs eg e.g i.e cf ca no nr vol pp fig gen col sen rev hon capt lt sgt
-ks esim mm n klo s v tri lis toim ts vrt huom kts yht
-lásd pl kb ún id ifj özv u.n sz old szerk vö gr br m i
-taz dk k.m uk bw bi mh mhe en
-t.ex bl.a d.v.s dvs kl fr ang jfr resp s.k f.d tel
-nt vt lk u st dots mag hr pr skp s.o
-məs bax akad mər t.e y.ü c az
+prof dr doc doç bkz yrd uzm av örn yy st mr mrs ms jr sr vs e.g i.e cf gen col sen rev hon capt lt sgt
+ks esim mm klo tri toim ts vrt huom yht
+lásd pl ún id ifj özv u.n ún sz old szerk vö
+taz dk k.m mh mhe
+t.ex bl.a d.v.s dvs kl fr jfr resp f.d tel
+nt vt mag hr skp
+məs bax akad t.e
+डॉ श्री प्रो
 """.split()
 
+# Short forms that stand before a number.
+NUMERIC = "s n nr no kb uk lk p pp u ca c vol fig kts sid str səh nu par art".split()
+
 # Short forms that often end a list, and a sentence with it if a capital follows.
-CLOSING = """
-vb vs vd jne jms yms ym stb satöbbi n.k nk osv m.m m.fl etc jm jpm ja.jm və.s s
-""".split()
+CLOSING = "vb vd jne jms yms ym stb n.k nk osv m.m m.fl etc jm jpm s".split()

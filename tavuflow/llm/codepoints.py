@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,17 +82,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run codes[start:end] (runs in order, not overlapping, not empty)."""
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
+
+
+@lru_cache(maxsize=1)
+def _values() -> np.ndarray:
+    return mix(np.arange(0x110000, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0..n and their inverses, modulo 2 ** 64; kept and grown."""
+    if len(_powers.get("up", ())) <= n:
+        size = max(n + 1, 1 << 21)
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        for name, base in (("up", _BASE), ("down", inverse)):
+            steps = np.full(size, base)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps)
+    return _powers["up"], _powers["down"]
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run codes[start:end]: a polynomial of well-mixed code points, by prefix sums of the whole block."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum(), dtype=np.int64) - np.repeat(first, lengths)
-    held = codes[place + np.repeat(starts, lengths)].astype(np.uint64)
-    weights = (place.astype(np.uint64) + np.uint64(seed * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    sums = np.add.reduceat(mix(held * np.uint64(0xC2B2AE3D27D4EB4F) + weights), first)
-    return mix(sums + lengths.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+    up, down = powers(len(codes))
+    prefix = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_values()[codes] * up[: len(codes)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
 
 
 def whitespace_table() -> np.ndarray:

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavuflow.llm.abbrev import CLOSING, INNER
+from tavuflow.llm.abbrev import INNER, NUMERIC
 from tavuflow.llm.codepoints import assigned, blocks, mix, run_hashes, to_codes
 from tavuflow.llm.lookalike import normalize_codes
 from tavuflow.llm.quality import _tables
 
 #: Labelled texts of each label to fit on, clusters of each language, table size as a power of two, n-gram lengths.
-SAMPLE, CLUSTERS, BITS, GRAMS = 300, 3, 16, (2, 3, 4)
+SAMPLE, CLUSTERS, BITS, GRAMS = 300, 3, 16, (3,)
 #: A segment is told if it has so many letters.
 LEAST_LETTERS = 12
 #: A segment is rejected if its cosine is so many deviations below the mean of the language's own segments.
@@ -51,7 +51,7 @@ def _hash_names(names: list[str]) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _short_forms() -> tuple[np.ndarray, np.ndarray]:
-    return _hash_names(INNER), _hash_names([x for x in CLOSING if x not in INNER])
+    return _hash_names([*INNER, *(x for x in NUMERIC if x not in INNER)]), _hash_names(NUMERIC)
 
 
 def _holds(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -112,7 +112,8 @@ class Segments:
             held = width > 0
             if held.any():
                 hashes = run_hashes(self.codes, left[held], at[held])
-                short[held] = _holds(_short_forms()[0], hashes)
+                before_number = _holds(_short_forms()[1], hashes)
+                short[held] = _holds(_short_forms()[0], hashes) & (~before_number | t["digit"][cased[after[held]]])
             keep = ~(dot & (ordinal | initial | short))
             begin[after[keep]] = True
         begin[n] = False
@@ -199,54 +200,62 @@ def fit(texts: list[str], labels: list[str], clusters: int = CLUSTERS, rounds: i
     languages = sorted(set(labels))
     size = 1 << BITS
     wanted = np.array([languages.index(x) for x in labels])
-    # One vector for each text: its segments' terms summed.
-    rows = []
-    for text in texts:
-        segments = Segments(pa.array([text.replace("\n", " ")]))
-        grams, _ = segments.grams()
-        rows.append((grams, segments.counts if len(grams) else np.zeros(0, np.float32)))
-    df = np.zeros(size)
-    for grams, _ in rows:
-        df[np.unique(grams)] += 1
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
-    vectors = np.zeros((len(rows), size), np.float32)
-    for i, (grams, counts) in enumerate(rows):
-        np.add.at(vectors[i], grams, counts)
-    vectors *= idf[None, :]
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    used = np.ones(len(rows), bool)
+    # The texts' terms in one sparse matrix: the n-grams of text i are grams[at[i]:at[i + 1]].
+    segments = Segments(pa.array([t.replace("\n", " ") for t in texts]))
+    gram, ends = segments.grams()
+    text_of = np.repeat(segments.row, np.diff(ends))
+    keys, back = np.unique(text_of.astype(np.int64) << BITS | gram, return_inverse=True)
+    value = np.bincount(back, segments.counts).astype(np.float32)
+    grams, owner_text = keys & (size - 1), keys >> BITS
+    at = np.searchsorted(owner_text, np.arange(len(texts) + 1))
+    idf = (np.log((1 + len(texts)) / (1 + np.bincount(grams, minlength=size))) + 1).astype(np.float32)
+    value *= idf[grams]
+    norms = np.sqrt(np.bincount(owner_text, value**2, minlength=len(texts)))
+    value /= np.maximum(norms[owner_text], 1e-9).astype(np.float32)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-9)
+
+    def mean(rows: np.ndarray) -> np.ndarray:
+        """Unit centroid of some texts."""
+        use = np.isin(owner_text, rows)
+        return unit(np.bincount(grams[use], value[use], minlength=size).astype(np.float32))
+
+    def dots(rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """Cosine of each of some texts with each centroid."""
+        table = np.ascontiguousarray(middle.T)
+        out = np.zeros((len(rows), len(middle)), np.float32)
+        for i, r in enumerate(rows):
+            own = slice(at[r], at[r + 1])
+            out[i] = value[own] @ table[grams[own]]
+        return out
+
+    used = np.ones(len(texts), bool)
+    everything = np.arange(len(texts))
     for attempt in range(3):
         centroids, owner = [], []
         for i in range(len(languages)):
-            own = vectors[used & (wanted == i)]
-            if not len(own):
-                own = vectors[wanted == i]
+            own = np.flatnonzero(used & (wanted == i))
+            own = own if len(own) else np.flatnonzero(wanted == i)
             k = 1 if attempt == 0 else min(clusters, max(1, len(own) // 8))
             # Start from texts far apart.
-            seeds = [unit(own.mean(0))]
+            seeds = [mean(own)]
             while len(seeds) < k:
-                near = np.max(own @ np.array(seeds).T, axis=1)
-                seeds.append(own[int(near.argmin())])
+                seeds.append(mean(own[[int(dots(own, np.array(seeds)).max(1).argmin())]]))
             middle = np.array(seeds)
-            for _ in range(rounds if k > 1 else 1):
-                nearest = (own @ middle.T).argmax(1)
-                middle = np.array([unit(own[nearest == j].mean(0)) if (nearest == j).any() else middle[j] for j in range(k)])
+            for _ in range(rounds if k > 1 else 0):
+                nearest = dots(own, middle).argmax(1)
+                middle = np.array([mean(own[nearest == j]) if (nearest == j).any() else middle[j] for j in range(k)])
             centroids.append(middle)
             owner += [i] * k
         stacked, owner_ = np.concatenate(centroids), np.array(owner)
-        scores = vectors @ stacked.T
-        best = owner_[scores.argmax(1)]
-        used = best == wanted
+        used = owner_[dots(everything, stacked).argmax(1)] == wanted
     model = Model(languages, idf, stacked, owner_)
-    # How near a language's own segments lie.
+    # How near a language's own sentences lie.
+    cos = model.cosines(segments)
+    sure = used[segments.row] & (segments.letters >= LEAST_LETTERS)
+    best = cos.argmax(1)
     for i in range(len(languages)):
-        own = [t for t, u, w in zip(texts, used, wanted, strict=True) if u and w == i][:50]
-        if own:
-            segments = Segments(pa.array(own))
-            cos = model.cosines(segments)[segments.letters >= LEAST_LETTERS]
-            mine = cos[cos.argmax(1) == i][:, i] if len(cos) else np.zeros(0)
-            model.least[i] = mine.mean() - REJECT * mine.std() if len(mine) else 0
+        own = cos[sure & (best == i) & (wanted[segments.row] == i), i]
+        model.least[i] = own.mean() - REJECT * own.std() if len(own) else 0
     return model
 
 

@@ -121,7 +121,11 @@ class Tables:
         self.is_mark = self.rank > 0
         self.second = np.zeros(_LIMIT, bool)  # can be the second of a pair
         self.second[[b for _, b in pairs]] = True
-        self.plain = (self.size == 1) & (self.single == np.arange(_LIMIT)) & ~self.is_mark & ~self.second
+        # Characters that stay as they are unless a mark or a part of a pair stands beside them.
+        stable = (self.size == 1) & (self.single == np.arange(_LIMIT))
+        for cp in np.flatnonzero(self.size > 1).tolist():
+            stable[cp] = unicodedata.normalize("NFC", "".join(map(chr, self.pool[self.start[cp] : self.start[cp] + self.size[cp]]))) == chr(cp)
+        self.plain = stable & ~self.is_mark & ~self.second
 
 
 @lru_cache

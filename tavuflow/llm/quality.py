@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavuflow.llm.codepoints import assigned, blocks, run_hashes, to_codes, whitespace_table, word_runs
+from tavuflow.llm.codepoints import assigned, blocks, run_hashes, to_codes, whitespace_table
 from tavuflow.llm.lookalike import normalize_codes
 from tavuflow.llm.neardup import lower_codes
 from tavuflow.session import materialize
@@ -61,6 +61,10 @@ FUNCTIONS = (
 )
 
 
+# Classes of characters.
+_LETTER, _SPACE, _DIGIT, _MARK, _COMMA, _SEMICOLON, _PIPE, _SYMBOL, _MARKUP, _TAB, _DASH = range(11)
+
+
 @lru_cache(maxsize=1)
 def _tables() -> dict[str, np.ndarray]:
     size = 0x110000
@@ -76,14 +80,31 @@ def _tables() -> dict[str, np.ndarray]:
         return out
 
     space = whitespace_table()
-    symbol = ~(letter | digit | space | of(PROSE_MARKS) | of("²³"))
-    return {"letter": letter, "digit": digit, "space": space, "symbol": symbol, "terminal": of(TERMINAL), "bullet": of(BULLETS), "markup": of(MARKUP)}
-
-
-def _sum(prefix_of: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(prefix_of) + 1, np.int64)
-    np.cumsum(prefix_of, out=total[1:])
-    return total[ends] - total[starts]
+    kind = np.full(size, _SYMBOL, np.uint8)
+    for chars, value in ((PROSE_MARKS + "²³", _MARK), (MARKUP, _MARKUP), (",", _COMMA), (";", _SEMICOLON), ("|", _PIPE), ("-–—:", _DASH)):
+        kind[of(chars)] = value
+    kind[letter], kind[digit], kind[space] = _LETTER, _DIGIT, _SPACE
+    kind[9] = _TAB
+    return {"letter": letter, "digit": digit, "space": space, "kind": kind, "terminal": of(TERMINAL), "bullet": of(BULLETS)}
+
+
+def _runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True within rows."""
+    n = len(solid)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    cut = np.unique(inner[solid[inner] & solid[inner - 1]])  # a run that goes on over a row's end is cut there
+    starts, ends = change[solid[change]], change[~solid[change]]
+    if solid[0]:
+        starts = np.append(0, starts)
+    if solid[-1]:
+        ends = np.append(ends, n)
+    if len(cut):
+        starts, ends = np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
+    return starts, ends
 
 
 class Lines:
@@ -94,76 +115,56 @@ class Lines:
         codes, offsets = lower_codes(*normalize_codes(*to_codes(column)))
         self.codes, self.offsets, n = codes, offsets, len(codes)
         newline = np.flatnonzero(codes == 10)
-        begin = np.zeros(n + 1, bool)
-        begin[offsets[:-1]] = True
-        begin[newline + 1] = True
-        begin[n] = False
-        self.start = np.flatnonzero(begin[:n]) if n else np.zeros(0, np.int64)
+        heads = np.unique(np.concatenate([offsets[:-1], newline + 1]))
+        self.start = heads[heads < n]
+        k = len(self.start)
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
-        end = np.append(self.start[1:], n)
-        end = np.minimum(end, offsets[self.row + 1]) if n else end
-        has_newline = np.zeros(len(end), bool)
-        if n:
-            has_newline = (end > self.start) & (codes[np.maximum(end - 1, 0)] == 10)
-        self.end = end - has_newline
+        end = np.minimum(np.append(self.start[1:], n)[:k], offsets[self.row + 1])
+        closed = (end > self.start) & (codes[np.maximum(end - 1, 0)] == 10) if n else np.zeros(0, bool)
+        self.end = end - closed
         self.size = self.end - self.start
+        kind = t["kind"][codes]
         # Tokens between white space, words of letters.
-        edge = t["space"][codes]
-        self.token_start, self.token_end, _ = word_runs(codes, offsets, t["space"])
-        letters = t["letter"][codes]
-        not_letter = ~t["letter"]
-        self.word_start, self.word_end, _ = word_runs(codes, offsets, not_letter)
+        self.token_start, self.token_end = _runs((kind != _SPACE) & (kind != _TAB), offsets)
+        self.word_start, self.word_end = _runs(kind == _LETTER, offsets)
         self.token_line = np.searchsorted(self.start, self.token_start, side="right") - 1
         self.word_line = np.searchsorted(self.start, self.word_start, side="right") - 1
-        k = len(self.start)
-        count = lambda line, weights=None: np.bincount(line, weights, minlength=k) if k else np.zeros(0)
-        self.tokens = count(self.token_line)
-        self.words = count(self.word_line)
+        count = lambda line, weights=None: np.bincount(line, weights, minlength=k)
+        self.tokens, self.words = count(self.token_line), count(self.word_line)
         self.word_hash = run_hashes(codes, self.word_start, self.word_end)
-        letter_total = np.append(0, np.cumsum(letters))
-        token_letters = letter_total[self.token_end] - letter_total[self.token_start]
+        token_size = self.token_end - self.token_start
+        self.letters = count(self.word_line, self.word_end - self.word_start)
         # A cell: a token without letters, or a mark for no value.
-        na = (self.token_end - self.token_start == 3) & (codes[np.minimum(self.token_start + 1, n - 1)] == 0x2F) if n else np.zeros(0, bool)
-        self.cells = count(self.token_line, (token_letters == 0) | na)
-        self.long = count(self.token_line, np.where(self.token_end - self.token_start >= 24, self.token_end - self.token_start, 0))
-        s, e = self.start, self.end
-        self.letters = letter_total[e] - letter_total[s]
-        self.digits = _sum(t["digit"][codes], s, e)
-        self.symbols = _sum(t["symbol"][codes], s, e)
-        self.markup = _sum(t["markup"][codes], s, e)
-        inner = np.zeros(n, bool)
-        if n > 2:
-            inner[1:-1] = t["symbol"][codes[1:-1]] & letters[:-2] | t["symbol"][codes[1:-1]] & letters[2:]
-        self.inner = _sum(inner, s, e)
-        self.pipes = _sum(codes == ord("|"), s, e)
-        tabs = codes == 9
-        semis = codes == ord(";")
-        self.tabs, self.semis, self.commas = _sum(tabs, s, e), _sum(semis, s, e), _sum(codes == ord(","), s, e)
-        wide = np.zeros(n, bool)
-        if n > 2:
-            blank = codes == 32
-            wide[2:] = blank[2:] & blank[1:-1] & ~blank[:-2]  # the second blank of a run
-        self.gaps = _sum(wide, s, e)
-        dash = np.zeros(n, bool)
-        if n > 2:
-            dash[1:-1] = np.isin(codes[1:-1], [0x2D, 0x2013, 0x2014, 0x3A]) & (codes[2:] == 32)
-        self.dashes = _sum(dash, s, e)
+        wordless = np.ones(len(token_size), bool)
+        wordless[np.searchsorted(self.token_start, self.word_start, side="right") - 1] = False
+        na = (token_size == 3) & (codes[np.minimum(self.token_start + 1, n - 1)] == 0x2F) if n else wordless
+        self.cells = count(self.token_line, wordless | na)
+        self.long = count(self.token_line, np.where(token_size >= 24, token_size, 0))
+        # Other characters are few: they are counted by line and class at their places.
+        at = np.flatnonzero(kind > _SPACE)
+        what = kind[at]
+        line = np.searchsorted(self.start, at, side="right") - 1
+        by = np.bincount(line * 11 + what, minlength=k * 11)[: k * 11].reshape(k, 11)
+        self.digits, self.commas, self.semis, self.pipes, self.tabs = (by[:, c] for c in (_DIGIT, _COMMA, _SEMICOLON, _PIPE, _TAB))
+        self.markup = by[:, _MARKUP] + by[:, _PIPE]
+        self.symbols = by[:, _SYMBOL] + self.markup
+        sign = (what == _SYMBOL) | (what == _MARKUP) | (what == _PIPE)
+        near = at[sign]
+        beside = ((near > 0) & (kind[np.maximum(near - 1, 0)] == _LETTER)) | ((near < n - 1) & (kind[np.minimum(near + 1, n - 1)] == _LETTER)) if n else sign
+        self.inner = count(line[sign], beside)
+        dash = what == _DASH
+        self.dashes = count(line[dash], codes[np.minimum(at[dash] + 1, n - 1)] == 32) if n else count(line[dash])
+        double = np.flatnonzero((codes[1:] == 32) & (codes[:-1] == 32)) if n > 1 else np.zeros(0, np.int64)
+        double = double[np.append(True, np.diff(double) > 1)[: len(double)]]  # one for each run of blanks
+        self.gaps = count(np.searchsorted(self.start, double, side="right") - 1)
         # First and last tokens of a line.
-        filled = self.tokens > 0
-        first = np.zeros(k, np.int64)
-        last = np.zeros(k, np.int64)
-        if len(self.token_line):
-            at = np.flatnonzero(np.append(True, self.token_line[1:] != self.token_line[:-1]))
-            first[self.token_line[at]] = at
-            at = np.flatnonzero(np.append(self.token_line[1:] != self.token_line[:-1], True))
-            last[self.token_line[at]] = at
-        self.filled = filled
-        f, g = first[filled], last[filled]
-        self.ends_sentence = np.zeros(k, bool)
-        self.bullet = np.zeros(k, bool)
+        self.filled = filled = self.tokens > 0
+        self.ends_sentence, self.bullet = np.zeros(k, bool), np.zeros(k, bool)
         if filled.any():
+            new = np.append(True, self.token_line[1:] != self.token_line[:-1])
+            f, g = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
             self.ends_sentence[filled] = t["terminal"][codes[self.token_end[g] - 1]]
-            width = self.token_end[f] - self.token_start[f]
+            width = token_size[f]
             head, tail = codes[self.token_start[f]], codes[self.token_end[f] - 1]
             numbered = t["digit"][head] & np.isin(tail, [0x2E, 0x29, 0x3A]) & (width <= 5)
             self.bullet[filled] = (self.tokens[filled] > 1) & ((t["bullet"][head] & (width == 1)) | numbered)
@@ -182,11 +183,14 @@ class Lines:
         return np.bincount(self.word_line, hit, minlength=len(self.start)) if len(self.start) else np.zeros(0)
 
     def distinct_words(self) -> np.ndarray:
-        key = self.word_hash ^ (self.word_line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(key, kind="stable")
+        """Distinct words of the lines with ten or more, else the number of words."""
+        use = (self.words >= 10)[self.word_line] if len(self.word_line) else np.zeros(0, bool)
+        key, line = self.word_hash[use], self.word_line[use]
+        key = np.sort((key & np.uint64((1 << 36) - 1)) | (line.astype(np.uint64) << np.uint64(36)))
         new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        return np.bincount(self.word_line[order[new]], minlength=len(self.start)) if len(self.start) else np.zeros(0)
+        new[1:] = key[1:] != key[:-1]
+        counts = np.bincount((key[new] >> np.uint64(36)).astype(np.int64), minlength=len(self.start))
+        return np.where(self.words >= 10, counts, self.words)
 
     def patterns(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bit pattern of the functions that fire on each line, and its common words."""
@@ -262,7 +266,8 @@ def common_words(df: DataFrame, text: str, label: Column) -> np.ndarray:
             counts = [np.append(x[keep], tail).astype(np.int64) for x, tail in ((seen, texts[name]), (plain, 0), (structured, 0))]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids), *map(pa.array, counts)], ["label", "word", "seen", "plain", "structured"])
 
-    counts = rows.mapInArrow(scan, "label string, word bigint, seen bigint, plain bigint, structured bigint").groupBy("label", "word").agg(*[F.sum(c).alias(c) for c in ("seen", "plain", "structured")])
+    counted = rows.mapInArrow(scan, "label string, word bigint, seen bigint, plain bigint, structured bigint")
+    counts = materialize(counted.groupBy("label", "word").agg(*[F.sum(c).alias(c) for c in ("seen", "plain", "structured")]), "words")
     total = counts.filter("word = 0").select("label", F.col("seen").alias("texts"))
     chosen = (
         counts.filter("word <> 0")
