@@ -4,12 +4,12 @@ from __future__ import annotations
 
 # Short forms (lower case, without their last stop) that stand before what they belong to.
 INNER = """
-prof dr doc doç bkz yrd uzm av örn yy st mr mrs ms jr sr vs e.g i.e cf gen col sen rev hon capt lt sgt
-ks esim mm klo tri toim ts vrt huom yht
-lásd pl ún id ifj özv u.n ún sz old szerk vö
+prof dr doc doç bkz yrd uzm örn st mr mrs ms jr sr vs e.g i.e cf rev hon capt lt sgt
+ks esim mm ts vrt huom yht
+lásd pl ún id ifj özv u.n szerk vö
 taz dk k.m mh mhe
-t.ex bl.a d.v.s dvs kl fr jfr resp f.d tel
-nt vt mag hr skp
+t.ex bl.a d.v.s dvs jfr resp f.d
+nt vt skp
 məs bax akad t.e
 डॉ श्री प्रो
 """.split()

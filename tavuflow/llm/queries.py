@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavuflow.llm import budget, bytebpe, langnames, language, lookalike, neardup, packing, quality, terms
+from tavuflow.llm import budget, bytebpe, langnames, language, lookalike, neardup, packing, quality, sentences, terms
 from tavuflow.session import bounded, materialize, table
 
 CAPACITY = 2048
@@ -105,6 +105,14 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages(spark, d)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.units(table(spark, d, "documents"), "doc_id", "text", with_text=False).distinct()
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.units(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p1_statistics, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups]
+    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups, p10_sentences]
     return {f.__name__: f for f in found}
