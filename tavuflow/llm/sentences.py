@@ -89,8 +89,8 @@ def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFra
     t = F.regexp_replace("t", _LINE_END, "$1" + _CUT)
     t = F.regexp_replace(t, _MASK, _DOT)
     t = F.regexp_replace(t, _BOUNDARY, "$1$2" + _CUT)
-    dense = F.octet_length(F.col("t")) > 2 * F.char_length(F.col("t"))  # most characters take three bytes: worth a closer look
-    t = F.when(dense & F.col("t").rlike("[\\u0e00-\\u0e7f]"), F.regexp_replace(t, _THAI, "$1" + _CUT)).otherwise(t)
+    wide = F.octet_length(F.col("t")) - F.char_length(F.col("t")) >= 4  # two letters of three bytes: cheaper to see
+    t = F.when(wide & F.col("t").rlike("[\\u0e00-\\u0e7f]"), F.regexp_replace(t, _THAI, "$1" + _CUT)).otherwise(t)
     parts = rows.select("key", *(["raw"] if with_text else []), F.split(t, _CUT).alias("p"))
     trim = _TRIM.replace("'", "''")
     places = F.expr(
