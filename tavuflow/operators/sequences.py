@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavuflow.functions import vectors as V
@@ -65,14 +65,19 @@ def context_similarity(tokens: DataFrame, sent: str, order: list[str], vector: s
     return flat.withColumn("_raw", raw).filter(F.abs("_raw") > least).withColumn("similarity", sim).withColumn("offset", F.col("x.offset")).drop("x", "_raw", "_n")
 
 
+def _bucket(key: str, seed: int, size: int) -> Column:
+    """A number below size from a digest that other engines can compute too."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(size))
+
+
 def split_by_hash(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """rows with split: train for about share of the keys, else test; the same however the rows are spread."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
-    return rows.withColumn("split", F.when(bucket < int(share * 10_000), "train").otherwise("test"))
+    return rows.withColumn("split", F.when(_bucket(key, seed, 10_000) < int(share * 10_000), "train").otherwise("test"))
 
 
 def fold_by_hash(rows: DataFrame, key: str, folds: int = 3, seed: int = 42) -> DataFrame:
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int"))
+    return rows.withColumn("fold", _bucket(key, seed, folds).cast("int"))
 
 
 def fold_plan(sent_ids: list[int], folds: int = 3, seed: int = 42) -> list[tuple[int, int]]:

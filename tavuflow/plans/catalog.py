@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tavuflow.plans import evaluation, labels, parsing, results, tokens
+from tavuflow.plans import evaluation, labels, models, parsing, results, tokens
 
-_MODULES = (tokens, labels, evaluation, results, parsing)
+_MODULES = (tokens, labels, evaluation, results, parsing, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -181,6 +181,8 @@ SQL = {
     "embedding_lookup_default_zero": f"""with {_TAGGED}, w as (select distinct word from tagged),
         v as (select word, list_transform(embedding, lambda x: x::double) as v from gazetteer join embeddings on entry_id = vec_id)
         select w.word, 64::bigint as dims, round(coalesce(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 6) as norm from w left join v using (word)""",
+    "train_test_split_90_10": f"""with {TOKENS_SQL}, b as (select sent_id, ('0x' || substring(md5('42:' || sent_id), 1, 12))::bigint % 10000 as k from toks)
+        select case when k < 9000 then 'train' else 'test' end as split, count(*) as n_tokens, count(distinct sent_id) as sentences from b group by all""",
     "compat_pairing": f"""with {_TAGGED}, m as (select sent_id, sum(greatest(length(word) - 4, 0)) as n_tokens from tagged group by sent_id),
         h as (select sent_id, n_tokens as n_vectors, row_number() over (order by sent_id) as i from m where n_tokens > 0),
         e as (select sent_id, n_tokens, row_number() over (order by sent_id) as i from m)
