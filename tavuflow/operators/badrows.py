@@ -46,19 +46,19 @@ def _structure(raw: DataFrame, line: str, delim: str) -> DataFrame:
     """raw with _fields (null if the quoting is broken) for rows that are no markers."""
     mark = F.create_map(*[F.lit(x) for kv in DELIMITERS.items() for x in kv])[F.col(delim)]
     rows = raw.filter(~is_marker(F.col(line))).withColumn("_d", F.coalesce(mark, F.lit("\x00")))
-    rows = rows.withColumn("_s", F.when(F.col(line).contains('"'), F.split(F.col(line), '"', -1)))
-    last = "size(_s) - 1"
-    # Even parts lie outside quotes: between two quoted stretches there is nothing (a doubled quote) or delimiters at both ends.
-    sound = F.expr(
-        f"{last} >= 0 and ({last}) % 2 = 0 and forall(sequence(0, {last}), i -> i % 2 = 1 or _s[i] = '' "
-        f"or ((i = 0 or startswith(_s[i], _d)) and (i = {last} or endswith(_s[i], _d))))"
-    )
+    # With a delimiter at both ends, each part outside quotes is empty (a doubled quote) or has delimiters at both of its ends.
+    # No lambda refers to the parts themselves, so that they are not split anew for each element when filters are pushed down.
+    padded = F.when(F.col(line).contains('"'), F.split(F.concat("_d", F.col(line), "_d"), '"', -1))
+    rows = rows.withColumn("_s", padded)
+    sound = (F.size("_s") % 2 == 1) & F.expr("forall(transform(_s, (s, i) -> i % 2 = 1 or s = '' or (startswith(s, _d) and endswith(s, _d))), x -> x)")
     # Inside quotes the delimiter is written as \d, a backslash anywhere as \b; a doubled quote becomes one quote.
     joined = F.expr(
-        rf"""array_join(transform(_s, (s, i) -> case when i % 2 = 1 then replace(replace(s, '\\', '\\b'), _d, '\\d')
-             when s = '' and i > 0 and i < {last} then '"' else replace(s, '\\', '\\b') end), '')"""
+        r"""array_join(transform(_s, (s, i) -> case when i % 2 = 1 then replace(replace(s, '\\', '\\b'), _d, '\\d')
+             when s = '' then '"' else replace(s, '\\', '\\b') end), '')"""
     )
-    quoted = F.transform(F.split(joined, F.concat(F.lit("\\Q"), F.col("_d"), F.lit("\\E")), -1), lambda x: F.replace(F.replace(x, F.lit("\\d"), F.col("_d")), F.lit("\\b"), F.lit("\\")))
+    pieces = F.split(joined, F.concat(F.lit("\\Q"), F.col("_d"), F.lit("\\E")), -1)
+    quoted = F.transform(pieces, lambda x: F.replace(F.replace(x, F.lit("\\d"), F.col("_d")), F.lit("\\b"), F.lit("\\")))
+    quoted = F.slice(quoted, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
     plain = F.split(F.col(line), F.concat(F.lit("\\Q"), F.col("_d"), F.lit("\\E")), -1)
     return rows.withColumn("_fields", F.when(F.col(line).isNull(), F.array().cast("array<string>")).when(F.col("_s").isNull(), plain).when(sound, quoted)).drop("_s", "_d")
 

@@ -74,9 +74,9 @@ def early_stop(losses: DataFrame, by: list[str], epoch: str, loss: str, patience
     """
     ordered = losses.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(epoch, loss))).alias("e"))
     fold = F.expr(
-        f"""aggregate(e, named_struct('best', double('Infinity'), 'bad', 0, 'stop', cast(null as long)), (a, x) ->
+        f"""aggregate(e, named_struct('best', cast('Infinity' as double), 'bad', 0, 'stop', cast(null as long)), (a, x) ->
               case when a.stop is not null then a
-                   when x.{loss} < a.best - {delta} then named_struct('best', double(x.{loss}), 'bad', 0, 'stop', a.stop)
-                   else named_struct('best', a.best, 'bad', a.bad + 1, 'stop', if(a.bad + 1 >= {patience}, long(x.{epoch}), null)) end)"""
+                   when x.{loss} < a.best - {delta} then named_struct('best', cast(x.{loss} as double), 'bad', 0, 'stop', a.stop)
+                   else named_struct('best', a.best, 'bad', a.bad + 1, 'stop', if(a.bad + 1 >= {patience}, cast(x.{epoch} as long), null)) end)"""
     )
     return ordered.select(*by, fold.alias("f")).select(*by, F.col("f.stop").alias("stop_epoch"), F.col("f.best").alias("best"))

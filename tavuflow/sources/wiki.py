@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tavuflow.functions.text import strip
 
@@ -22,8 +23,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
-    """pages read and skipped."""
-    return pages.agg(F.count("*").alias("pages"), F.count("_corrupt_record").alias("skipped"))
+    """pages read, skipped (not parsed) and titled."""
+    return pages.agg(F.count("*").alias("pages"), F.count("_corrupt_record").alias("skipped"), F.count("title").alias("titled"))
 
 
 def _balanced(text: str, opening: str, closing: str) -> str:
@@ -47,7 +48,7 @@ def _balanced(text: str, opening: str, closing: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _drop_nested(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
         yield texts.map(lambda t: None if t is None else _balanced(_balanced(t, "{{", "}}"), "{|", "|}"))
