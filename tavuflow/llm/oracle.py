@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-_TERMS = r"""
+from tavuflow.llm.lookalike import ALIKE
+
+_SPACES = r"[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+_TERMS = rf"""
 with recs as (
-  select 'text' as scope, article_id as rec,
-         list_filter(regexp_split_to_array(Cleaned_Text, '[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') as terms
+  select 'text' as scope, article_id as rec, list_filter(regexp_split_to_array(Cleaned_Text, '{_SPACES}'), lambda x: x <> '') as terms
   from articles where Cleaned_Text is not null
   union all
   select strategy, line_id, first(tokens order by tokenized_at) from tokenized where tokens is not null group by strategy, line_id),
@@ -17,7 +20,41 @@ marked as (select scope, term, n, records, case when records <= 2 then 'rare' wh
            from counts join sizes using (scope))
 """
 
+
+def form(column: str) -> str:
+    """The consistent form in SQL, for the characters of the project's tables: widths by translation, ligatures by replacement,
+    invisible characters by a pattern, look-alikes by translation, then composition."""
+    wide, narrow = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    spaces = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    out = rf"regexp_replace({column}, '[\p{{Cf}}\x{{34f}}\x{{fe00}}-\x{{fe0f}}]', '', 'g')"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    pairs = [(wide + spaces, narrow + " " * len(spaces)), *ALIKE.items()]
+    for before, after in pairs:
+        out = f"translate({out}, {quote(before)}, {quote(after)})"
+    return f"nfc_normalize({out})"
+
+
+_P3 = f"""
+with g as (select entry_id, word, {form('word')} as form from gazetteer where word is not null),
+t as (select token_id, word, {form('word')} as form from ner_tokens where word is not null),
+a as (select article_id, Cleaned_Text as text, md5({form('Cleaned_Text')}) as form from articles where Cleaned_Text is not null)
+select distinct 'word' as kind, token_id as id_a, entry_id as id_b from t join g using (form) where t.word <> g.word
+union all select 'text', x.article_id, y.article_id from a x join a y on x.form = y.form and x.article_id < y.article_id and x.text <> y.text
+"""
+
+_P6 = f"""
+with w as (select article_id, list_filter(regexp_split_to_array(lower({form('Cleaned_Text')}), '{_SPACES}'), lambda x: x <> '') as ws from articles where Cleaned_Text is not null),
+s as (select article_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as sh from w where len(ws) >= 20),
+e as (select article_id, len(sh) as n, unnest(sh) as k from s),
+met as (select x.article_id as a, y.article_id as b, x.n as na, y.n as nb, count(*) as c from e x join e y on x.k = y.k and x.article_id < y.article_id group by all)
+select a as article_id_a, b as article_id_b from met where c * 2 >= na + nb - c
+"""
+
 SQL = {
+    "p3_found": _P3,
     "p5_found": _TERMS + "select scope, term, mark from marked where mark is not null",
     "p5_term_counts": _TERMS + "select scope, term, n, records, mark from marked",
+    "p6_found": _P6,
 }
