@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one is set only where none is named."""
     where = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tavuflow-")
         spark.conf.set(CHECKPOINT_KEY, where)
@@ -56,6 +56,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables that materialize() wrote, once no result rests on them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tavuflow")
+    path.getFileSystem(conf).delete(path, True)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most so many rows, else df as it is (a shuffle join follows)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -67,7 +74,3 @@ def hadoop_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(conf).globStatus(p)
     return bool(found)
-
-
-def repo_path(*parts: str) -> str:
-    return os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), *parts)

@@ -156,3 +156,13 @@ def test_crf_learns_context():
     model = crf.fit(sentences, tags, rounds=60)
     right = sum(p == t for s, own in zip(sentences, tags, strict=True) for p, t in zip(model.predict(s), own, strict=True))
     assert right / sum(map(len, tags)) > 0.85 and len(crf.top_weights(model)) == 10
+
+
+def test_shared_tables(spark):
+    from tavuflow import session
+
+    df = spark.range(5).toDF("id")
+    kept = session.materialize(df, "t")
+    assert kept.count() == 5 and session.bounded(kept, 3).count() == session.bounded(kept, 30).count() == 5
+    session.release(spark)
+    assert not session.hadoop_exists(spark, session.shared_dir(spark) + "/tavuflow")
