@@ -41,15 +41,15 @@ _MASK = (
     "\\.(?:"
     "(?=[\\p{Ll},;:/@_-])|(?<=\\p{N}\\.)(?=\\p{N})"  # URLs, dotted short forms, decimals
     "|(?<=(?<![\\p{L}\\p{M}])\\p{Lu}\\p{M}?\\.)"  # initials
-    "|(?<=(?<![\\p{L}\\p{N}])[IVX]{2,5}\\.)"  # Roman ordinals
-    f"|(?<=(?<![\\p{{L}}\\p{{N}}.,{_DOT}])\\p{{Nd}}{{1,2}}\\.)(?<!(?iu:{_names(NUMERIC)})\\.[{_WS}]{{0,2}}\\p{{Nd}}{{1,2}}\\.)"  # ordinals and item numbers
-    f"|(?<=(?<![\\p{{L}}\\p{{M}}.])(?iu:{_names(INNER)})\\.)"
-    f"|(?<=(?<![\\p{{L}}\\p{{M}}.])(?iu:{_names(NUMERIC)})\\.)(?=[{_WS}]*\\p{{N}})"
+    "|(?<=(?<![\\p{L}\\p{N}])[IVX]{2,5}\\p{Cf}?\\.)"  # Roman ordinals
+    f"|(?<=(?<![\\p{{L}}\\p{{N}},])(?<!\\p{{N}}\\.)\\p{{Nd}}{{1,2}}\\.)(?<!(?<![\\p{{L}}\\p{{M}}])(?iu:{_names(NUMERIC)})\\.[{_WS}]{{0,2}}\\p{{Nd}}{{1,2}}\\.)"  # ordinals and item numbers
+    f"|(?<=(?<![\\p{{L}}\\p{{M}}])(?iu:{_names(INNER)})\\.)"
+    f"|(?<=(?<![\\p{{L}}\\p{{M}}])(?iu:{_names(NUMERIC)})\\.)(?=[{_WS}]*\\p{{N}})"
     ")"
 )
 _BEGIN = f"[{_OPEN}]*[\\p{{Lu}}\\p{{Lt}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsDevanagari}}\\p{{IsThai}}\\p{{N}}]"
 _BOUNDARY = (
-    f"([{_STOPS}]+[{_CLOSE}]*)(?=[{_WS}\\p{{Cf}}]+[{_OPEN}]*[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}\\p{{So}}]|{_BEGIN})"
+    f"([{_STOPS}](?<=[^{_WS}|;].)[{_STOPS}]*[{_CLOSE}]*)(?=[{_WS}\\p{{Cf}}]+[{_OPEN}]*[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}\\p{{So}}]|{_BEGIN})"
     f"|([{_FULL}]+(?![{_CLOSE}{_FULL}])|[{_FULL}]+[{_CLOSE}]+(?![{_CLOSE}]|{_GOES_ON}))"
 )
 _THAI = f"((?<=[\\u0e00-\\u0e7f\\p{{Nd}}])[ \\t\\u00a0\\u2000-\\u200a]+)(?=[\\u0e00-\\u0e7f])"
@@ -82,7 +82,7 @@ def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFra
     width = F.expr("array_max(transform(w.sure, x -> char_length(x)))")
     wrapped = F.col("w").isNotNull() & (F.size("w.sure") > 0) & (F.size("w.sure") >= F.col("w.lines") * SURE_SHARE)
     pattern = F.concat(
-        F.lit("\\n(?<=(?:^|\\n)[^\\n]{"), F.floor(width * FILLED).cast("string"), F.lit(","), F.ceil(width * 1.2).cast("string"), F.lit("}\\n)(?=[^\\s*•·–—|-])")
+        F.lit("\\n(?<=(?:^|\\n)[^\\n]{"), F.floor(width * FILLED).cast("string"), F.lit(","), F.ceil(width * 1.2).cast("string"), F.lit("}\\n)(?=[^\\s*•·–—|-]|[–—-] \\p{Ll})")
     )
     t = F.when(wrapped, F.regexp_replace("t", pattern, F.lit(_WRAP))).otherwise(F.col("t"))
     rows = rows.select("key", "raw", t.alias("t"))
