@@ -16,11 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tavuflow.llm.codepoints import assigned, blocks, to_arrow, to_codes, valid_rows
+from tavuflow.session import bounded, materialize
 
 # Letters of other scripts that are drawn like a Latin one, and the Latin letters.
 ALIKE = {
@@ -261,27 +262,25 @@ def consistent_form(df: DataFrame, text: str, into: str = "consistent") -> DataF
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (id_a, id_b), the smaller first, of rows whose texts look the same but are different strings.
 
-    Only digests of the raw and the consistent form are shuffled. Texts that agree as stored form one class, so a crowd of
-    exact copies costs nothing unless another spelling of it exists; then each pair of different strings is a result row.
+    Only digests of the raw and the consistent form are shuffled. Spellings are paired first, each once however many rows
+    share it, then joined to their rows: a crowd of exact copies is never compared with itself, and each step's rows are
+    bounded by the result's.
     """
     digests = (
         consistent_form(df.select(F.col(key), F.col(text).alias("raw")).filter(F.col("raw").isNotNull()), "raw", "form")
         .select(F.col(key).cast("long").alias("id"), F.unhex(F.md5("raw")).alias("raw_md5"), F.unhex(F.md5("form")).alias("form_md5"))
     )
-    spellings = digests.groupBy("form_md5").agg(F.min("raw_md5").alias("lo"), F.max("raw_md5").alias("hi")).filter("lo <> hi").select("form_md5")
-    rows = digests.join(spellings, "form_md5", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    return (
-        a.join(b, (F.col("a.form_md5") == F.col("b.form_md5")) & (F.col("a.raw_md5") != F.col("b.raw_md5")) & (F.col("a.id") < F.col("b.id")))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
+    forms = digests.groupBy("form_md5").agg(F.min("raw_md5").alias("lo"), F.max("raw_md5").alias("hi")).filter("lo <> hi").select("form_md5")
+    rows = materialize(digests.join(forms, "form_md5", "left_semi"), "spellings")
+    spellings = rows.select("form_md5", "raw_md5").distinct()
+    pairs = spellings.withColumnRenamed("raw_md5", "raw_a").join(spellings.withColumnRenamed("raw_md5", "raw_b"), "form_md5").filter("raw_a < raw_b").select("raw_a", "raw_b")
+    a, b = (rows.select(F.col("raw_md5").alias(f"raw_{s}"), F.col("id").alias(s)) for s in "xy")
+    met = pairs.join(a.withColumnRenamed("raw_x", "raw_a"), "raw_a").join(b.withColumnRenamed("raw_y", "raw_b"), "raw_b")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a <> id_b").distinct()
 
 
-def same_look_words(words: DataFrame, key: str, word: str, clean: DataFrame, clean_key: str, clean_word: str, small: Column | None = None) -> DataFrame:
+def same_look_words(words: DataFrame, key: str, word: str, clean: DataFrame, clean_key: str, clean_word: str) -> DataFrame:
     """(id_a, id_b): rows of words whose word looks like a clean word but is another string. Nulls match nothing."""
-    from tavuflow.session import bounded
-
     left = consistent_form(words.select(F.col(key).cast("long").alias("id_a"), F.col(word).alias("raw")).filter(F.col("raw").isNotNull()), "raw", "form")
     right = consistent_form(clean.select(F.col(clean_key).cast("long").alias("id_b"), F.col(clean_word).alias("entry")).filter(F.col("entry").isNotNull()), "entry", "form")
     return left.join(bounded(right), "form").filter(F.col("raw") != F.col("entry")).select("id_a", "id_b").distinct()
