@@ -28,6 +28,8 @@ from tavuflow.llm.quality import _tables
 SAMPLE, CLUSTERS, BITS, GRAMS = 300, 3, 16, (3,)
 #: A segment is told if it has so many letters.
 LEAST_LETTERS = 12
+#: Texts that a fit turns into terms at a time.
+_FIT_TEXTS = 100
 #: A segment is rejected if its cosine is so many deviations below the mean of the language's own segments.
 REJECT = 3.5
 
@@ -177,7 +179,7 @@ class Model:
         grams, offsets = segments.grams()
         k = len(offsets) - 1
         out = np.zeros((k, len(self.languages)), np.float32)
-        step = 1 << 18
+        step = 1 << 15  # terms at a time, so that their rows of the table stay in the cache
         row = 0
         while row < k:
             stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + step, side="right")) - 1)
@@ -199,13 +201,17 @@ def fit(texts: list[str], labels: list[str], clusters: int = CLUSTERS, rounds: i
     """Centroids from labelled texts; in two passes, the second without texts that lie nearer to another language."""
     languages = sorted(set(labels))
     size = 1 << BITS
+    if not texts:  # nothing can be told
+        return Model([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.int64))
     wanted = np.array([languages.index(x) for x in labels])
-    # The texts' terms in one sparse matrix: the n-grams of text i are grams[at[i]:at[i + 1]].
-    segments = Segments(pa.array([t.replace("\n", " ") for t in texts]))
-    gram, ends = segments.grams()
-    text_of = np.repeat(segments.row, np.diff(ends))
-    keys, back = np.unique(text_of.astype(np.int64) << BITS | gram, return_inverse=True)
-    value = np.bincount(back, segments.counts).astype(np.float32)
+    # The texts' terms in one sparse matrix: the n-grams of text i are grams[at[i]:at[i + 1]]. A few texts at a time.
+    parts = []
+    for first in range(0, len(texts), _FIT_TEXTS):
+        segments = Segments(pa.array([t.replace("\n", " ") for t in texts[first : first + _FIT_TEXTS]]))
+        gram, ends = segments.grams()
+        keys, back = np.unique(np.repeat(segments.row + first, np.diff(ends)) << BITS | gram, return_inverse=True)
+        parts.append((keys, np.bincount(back, segments.counts).astype(np.float32)))
+    keys, value = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
     grams, owner_text = keys & (size - 1), keys >> BITS
     at = np.searchsorted(owner_text, np.arange(len(texts) + 1))
     idf = (np.log((1 + len(texts)) / (1 + np.bincount(grams, minlength=size))) + 1).astype(np.float32)
@@ -250,11 +256,14 @@ def fit(texts: list[str], labels: list[str], clusters: int = CLUSTERS, rounds: i
         used = owner_[dots(everything, stacked).argmax(1)] == wanted
     model = Model(languages, idf, stacked, owner_)
     # How near a language's own sentences lie.
-    cos = model.cosines(segments)
-    sure = used[segments.row] & (segments.letters >= LEAST_LETTERS)
-    best = cos.argmax(1)
-    for i in range(len(languages)):
-        own = cos[sure & (best == i) & (wanted[segments.row] == i), i]
+    near: list[list[np.ndarray]] = [[] for _ in languages]
+    for first in range(0, len(texts), _FIT_TEXTS):
+        segments = Segments(pa.array(texts[first : first + _FIT_TEXTS]))
+        cos, owner = model.cosines(segments), segments.row + first
+        sure = used[owner] & (segments.letters >= LEAST_LETTERS) & (cos.argmax(1) == wanted[owner])
+        for i in range(len(languages)):
+            near[i].append(cos[sure & (wanted[owner] == i), i])
+    for i, own in enumerate(map(np.concatenate, near)):
         model.least[i] = own.mean() - REJECT * own.std() if len(own) else 0
     return model
 
@@ -272,6 +281,9 @@ def tell(model: Model, segments: Segments, n_rows: int) -> dict[str, np.ndarray]
     """Language and confidence of each segment (-1: none) and of each row."""
     cos = model.cosines(segments)
     k = len(cos)
+    if not model.languages:
+        none, zero = np.full(k, -1), np.zeros(k)
+        return {"language": none, "confidence": zero, "main": np.full(n_rows, -1), "share": np.zeros(n_rows), "second": zero, "top": zero}
     best = cos.argmax(1) if k else np.zeros(0, np.int64)
     top = cos[np.arange(k), best]
     rest = cos.copy()

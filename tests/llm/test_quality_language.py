@@ -64,6 +64,13 @@ def test_mixed_and_odd(spark, labelled):
     assert got[1] == ("fi", [(2, "en")]) and got[2] == got[3] == got[4] == (None, []) and got[5] == ("fi", [])
 
 
+def test_nothing_to_fit_on(spark):
+    model = language.fit([], [])
+    df = spark.createDataFrame([(1, "Talo on uusi ja kylä vanha."), (2, None)], "id long, t string")
+    assert [(r["language"], r["segments"]) for r in language.identify(df, "id", "t", model).collect()] == [(None, []), (None, [])]
+    assert language.identify(df.limit(0), "id", "t", model).count() == 0
+
+
 def test_short_forms_do_not_part():
     texts = ["Ks. myös prof. Mäki ja N. K. Salo, s. 12. Toinen lause on tässä.", "A művet N. K. Kavufa írta. II. Pál király a 12. Kisház körzetbe ment."]
     segments = language.Segments(pa.array(texts))
