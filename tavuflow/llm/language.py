@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavuflow.llm.abbrev import INNER, NUMERIC
-from tavuflow.llm.codepoints import assigned, blocks, mix, run_hashes, to_codes
+from tavuflow.llm.codepoints import assigned, blocks, run_hashes, to_codes
 from tavuflow.llm.lookalike import normalize_codes
 from tavuflow.llm.quality import _tables
 
@@ -34,6 +34,9 @@ _FIT_TEXTS = 100
 REJECT = 3.5
 
 
+_STOP, _CLOSE, _QUOTE, _ROMAN, _SPACE, _DIGIT, _UPPER, _LETTER = (1 << i for i in range(8))
+
+
 @lru_cache(maxsize=1)
 def _case() -> tuple[np.ndarray, np.ndarray]:
     """Lower case by one character for one, and the upper-case letters."""
@@ -46,6 +49,19 @@ def _case() -> tuple[np.ndarray, np.ndarray]:
     return lower, upper
 
 
+@lru_cache(maxsize=1)
+def _roles() -> np.ndarray:
+    """What each character can be around a sentence's end, as bits."""
+    t, upper = _tables(), _case()[1]
+    out = np.zeros(0x110000, np.uint8)
+    for bit, chars in ((_STOP, ".!?…"), (_CLOSE, "\"'”’»)]"), (_QUOTE, "\"'“”„«‘("), (_ROMAN, "IVX")):
+        out[[ord(c) for c in chars]] |= bit
+    for bit, mask in ((_SPACE, t["space"]), (_DIGIT, t["digit"]), (_UPPER, upper), (_LETTER, t["letter"])):
+        out[mask] |= bit
+    out[[ord(c) for c in "¿¡"]] |= _QUOTE
+    return out
+
+
 def _hash_names(names: list[str]) -> np.ndarray:
     codes, offsets = to_codes(pa.array(names))
     return np.sort(run_hashes(codes, offsets[:-1], offsets[1:]))
@@ -66,56 +82,52 @@ class Segments:
     """Sentences of a block of texts, each with its row and line."""
 
     def __init__(self, column: pa.Array) -> None:
-        t = _tables()
-        lower_table, upper_table = _case()
         cased, offsets = normalize_codes(*to_codes(column))
         n = len(cased)
         self.offsets = offsets
-        self.codes = lower_table[cased]
-        letters = t["letter"][cased]
+        self.codes = _case()[0][cased]
+        role = _roles()[cased]
         begin = np.zeros(n + 1, bool)
         begin[offsets[:-1]] = True
         newline = np.flatnonzero(cased == 10)
         begin[newline + 1] = True
         line_start = np.flatnonzero(begin[:n])
         # A mark that ends a sentence, closing marks after it, white space, then something that can begin one.
-        stop = np.isin(cased, [ord(c) for c in ".!?…"])
-        at = np.flatnonzero(stop)
-        if n:
-            closing = np.isin(cased, [ord(c) for c in "\"'”’»)]"])
+        at = np.flatnonzero(role & _STOP)
+        if len(at):
+            is_ = lambda place, bits: (role[np.clip(place, 0, n - 1)] & bits != 0) & (place >= 0) & (place < n)
             nxt = at + 1
             for _ in range(3):
-                more = (nxt < n) & closing[np.minimum(nxt, n - 1)]
-                nxt = nxt + more
-            space = t["space"][cased]
-            gap = (nxt < n) & space[np.minimum(nxt, n - 1)]
+                nxt = nxt + is_(nxt, _CLOSE)
+            gap = is_(nxt, _SPACE)
+            at, nxt = at[gap], nxt[gap]
             after = nxt + 1
             for _ in range(3):
-                more = (after < n) & space[np.minimum(after, n - 1)]
-                after = after + more
-            inside = gap & (after < n)
-            head = np.minimum(after, n - 1)
-            opens = upper_table[cased[head]] | np.isin(cased[head], [ord(c) for c in "\"'“”„«‘(¿¡"]) | t["digit"][cased[head]]
-            ok = inside & opens
+                after = after + is_(after, _SPACE)
+            ok = is_(after, _UPPER | _QUOTE | _DIGIT)
             at, after = at[ok], after[ok]
             # A full stop after a short form, an initial or an ordinal ends nothing.
             dot = cased[at] == 0x2E
-            word_edge = np.append(np.flatnonzero(np.append(True, space[:-1])), n)
+            word_edge = np.append(0, np.flatnonzero(role & _SPACE) + 1)
             left = word_edge[np.searchsorted(word_edge, at, side="right") - 1]
-            left = left + np.isin(cased[np.minimum(left, n - 1)], [ord(c) for c in "\"'“”„«‘("])
-            width = np.maximum(at - left, 0)
-            digits = np.append(0, np.cumsum(t["digit"][cased]))
-            number = (digits[at] - digits[left] == width) & (width > 0)
-            ordinal = number & (width <= 2)
-            roman = np.append(0, np.cumsum(np.isin(cased, [ord(c) for c in "IVX"])))
-            ordinal |= (roman[at] - roman[left] == width) & (width > 0)
-            initial = (width == 1) & upper_table[cased[np.minimum(left, n - 1)]]
+            left = np.minimum(left + is_(left, _QUOTE), at)
+            width = at - left
+
+            def all_(bits: int, most: int) -> np.ndarray:
+                """Whether the token before the stop has at most so many characters, all of this kind."""
+                out = (width > 0) & (width <= most)
+                for k in range(1, most + 1):
+                    out &= (width < k) | is_(at - k, bits)
+                return out
+
+            ordinal = all_(_DIGIT, 2) | all_(_ROMAN, 6)
+            initial = (width == 1) & is_(left, _UPPER)
             short = np.zeros(len(at), bool)
-            held = width > 0
+            held = (width > 0) & (width <= 12)
             if held.any():
                 hashes = run_hashes(self.codes, left[held], at[held])
                 before_number = _holds(_short_forms()[1], hashes)
-                short[held] = _holds(_short_forms()[0], hashes) & (~before_number | t["digit"][cased[after[held]]])
+                short[held] = _holds(_short_forms()[0], hashes) & (~before_number | is_(after[held], _DIGIT))
             keep = ~(dot & (ordinal | initial | short))
             begin[after[keep]] = True
         begin[n] = False
@@ -125,10 +137,8 @@ class Segments:
         line = np.searchsorted(line_start, self.start, side="right") - 1
         first_line = np.searchsorted(line_start, offsets[self.row])
         self.line = line - first_line
-        total = np.append(0, np.cumsum(letters))
-        self.letters = total[self.end] - total[self.start]
-        # Text for n-grams: letters, other runs as one blank.
-        self.letter = letters
+        self.letter = role & _LETTER != 0
+        self.letters = np.add.reduceat(self.letter, self.start, dtype=np.int64) if n else self.start
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashed n-grams of all segments, those of one segment together, and the segments' offsets in them."""
@@ -139,19 +149,20 @@ class Segments:
         head = self.start[self.start < n]
         keep[head] = True
         kept = np.flatnonzero(keep)
-        text = np.where(letter[kept], codes[kept], 32).astype(np.uint64)
+        text = np.where(letter[kept], codes[kept], np.uint32(32))
         bounds = np.searchsorted(kept, np.append(self.start, n))
         sizes = np.diff(bounds)
         segment = np.repeat(np.arange(len(sizes)), sizes)
         out, parts = [], []
-        for i, k in enumerate(GRAMS):
+        for k in GRAMS:
             if len(text) < k:
                 continue
-            h = np.full(len(text) - k + 1, np.uint64(k))
+            h = np.full(len(text) - k + 1, np.uint32(k))
             for j in range(k):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + text[j : len(text) - k + 1 + j]
+                h = (h ^ text[j : len(text) - k + 1 + j]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
             inside = segment[: len(h)] == segment[k - 1 :]
-            out.append((mix(h[inside]) >> np.uint64(64 - BITS)).astype(np.int64))
+            out.append(((h[inside] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int64))
             parts.append(segment[: len(h)][inside])
         if not out:
             return np.zeros(0, np.int64), np.zeros(len(sizes) + 1, np.int64)
