@@ -348,13 +348,27 @@ def text_types(df: DataFrame, key: str, text: str, label: Column) -> DataFrame:
     counts = rows.select(F.explode(F.arrays_zip("bits", "lines")).alias("x")).groupBy("x.bits").agg(F.sum("x.lines").alias("n")).collect()  # at most 2 ** functions
     histogram = {r["bits"]: r["n"] for r in counts} or {0: 1}
     _, _, post = learn(histogram)
-    order = sorted(histogram)
-    chances = F.create_map(*[x for p, q in zip(order, post, strict=True) for x in (F.lit(p), F.array(*[F.lit(float(v)) for v in q]))])
-    spread = rows.withColumn("_q", F.transform("bits", lambda b: chances[b]))
-    for i, name in enumerate(TYPES):
-        own = f"aggregate(zip_with(_q, chars, (q, c) -> if(q[{i}] >= array_max(q), c, 0L)), 0L, (a, x) -> a + x) / greatest(n_chars, 1L)"
-        spread = spread.withColumn(name, F.expr(own))
-    soft = F.expr("aggregate(zip_with(_q, chars, (q, c) -> q[0] * c), 0D, (a, x) -> a + x) / greatest(n_chars, 1L)")
+    patterns = np.array(sorted(histogram), np.int64)
+    shared = spark.sparkContext.broadcast((patterns, post))  # at most 2 ** functions rows
+    kept = [c for c in rows.columns if c not in ("bits", "chars", "lines")]
+    schema = rows.select(*kept).schema
+    for name in (*TYPES, "soft"):
+        schema = schema.add(name, "double")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, post = shared.value
+        for batch in batches:
+            lists = batch.column("bits")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            chance = post[np.searchsorted(patterns, lists.flatten().to_numpy(zero_copy_only=False))]
+            chars = batch.column("chars").flatten().to_numpy(zero_copy_only=False)
+            total = np.maximum(batch.column("n_chars").to_numpy(zero_copy_only=False), 1)
+            share = lambda w: pa.array(np.bincount(row, w, minlength=len(lists)) / total)  # noqa: B023, E731
+            best = chance >= chance.max(1, keepdims=True)
+            columns = [*(share(best[:, i] * chars) for i in range(len(TYPES))), share(chance[:, 0] * chars)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *TYPES, "soft"])
+
+    spread = rows.drop("lines").mapInArrow(weigh, schema)
     top = F.greatest(*[F.col(n) for n in TYPES[1:]])
     kind = F.when(F.col("n_lines") > 0, F.when(F.col("prose") >= 0.5, "prose").otherwise(F.coalesce(*[F.when(F.col(n) == top, F.lit(n)) for n in TYPES[1:]])))
-    return spread.withColumn("type", kind).withColumn("confidence", F.when(F.col("n_lines") > 0, F.greatest(soft, 1 - soft))).drop("_q", "bits", "chars", "lines").withColumnRenamed("key", key)
+    return spread.withColumn("type", kind).withColumn("confidence", F.when(F.col("n_lines") > 0, F.greatest("soft", 1 - F.col("soft")))).drop("soft").withColumnRenamed("key", key)
