@@ -50,3 +50,9 @@ def test_pairs_of_rows(spark):
     assert sorted(tuple(r) for r in L.same_look_pairs(df, "id", "t").collect()) == [(1, 2), (2, 3), (5, 6)]
     clean = spark.createDataFrame([(10, "talo"), (11, "kylä"), (12, None)], "id long, t string")
     assert sorted(tuple(r) for r in L.same_look_words(df, "id", "t", clean, "id", "t").collect()) == [(2, 10), (6, 11)]
+
+
+def test_a_crowd_of_copies(spark):
+    rows = [(i, "talo kylä") for i in range(500)] + [(1000, "talo kylä"), (1001, "talo​ kylä")]
+    got = L.same_look_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    assert got.count() == 500 * 2 + 1
