@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tavuflow.operators import bpe, crf, embed, tagger
 from tavuflow.operators import metrics as M
 from tavuflow.plans.labels import tagged
-from tavuflow.session import materialize, table
+from tavuflow.session import materialize, spread, table
 
 #: The public vocabulary whose merges the BPE queries use.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -18,7 +18,7 @@ def bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Sub-words of the articles' words and their number."""
     merges, _ = bpe.read_vocabulary_file(spark, VOCABULARY)
     encode = bpe.encoder(spark, merges, lower=True)
-    lines = table(spark, d, "articles").select(F.explode(F.split("Cleaned_Text", "\n")).alias("line"))
+    lines = spread(table(spark, d, "articles").select("Cleaned_Text")).select(F.explode(F.split("Cleaned_Text", "\n")).alias("line"))
     return lines.select(F.explode(encode(F.col("line"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ from tavuflow.config import experiments
 from tavuflow.functions import text as T
 from tavuflow.operators import sampling
 from tavuflow.operators import tokenize as K
-from tavuflow.session import table
+from tavuflow.session import spread, table
 
 _TEXT = "Cleaned_Text"
 # DuckDB's spelling of the white space class.
@@ -25,7 +25,7 @@ def _strip(column: str) -> str:
 
 
 def token_counts(spark: SparkSession, d: str, strategy: str) -> DataFrame:
-    return K.token_counts(table(spark, d, "articles").select(_TEXT), _TEXT, strategy)
+    return K.token_counts(spread(table(spark, d, "articles").select(_TEXT)), _TEXT, strategy)
 
 
 def line_lengths(spark: SparkSession, d: str) -> DataFrame:

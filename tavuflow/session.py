@@ -56,6 +56,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give work to less than half of them; an input of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Remove all tables that materialize() wrote, once no result rests on them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
