@@ -84,25 +84,35 @@ def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
     return typed_articles(spark, d).join(titles, "article_id")
 
 
-def languages(spark: SparkSession, d: str) -> DataFrame:
-    """article_id, label, language, confidence and segments of the articles that are prose of at least 200 characters."""
-    articles = table(spark, d, "articles").select("article_id", langnames.language_code(F.col("lang")).alias("label"), "Cleaned_Text")
+def labelled_articles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "articles").select("article_id", langnames.language_code(F.col("lang")).alias("label"), "Cleaned_Text")
+
+
+def long_prose(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The articles of at least 200 characters, and the keys of those that are prose: what p2_found tells and a model is fitted on."""
     prose = materialize(typed_articles(spark, d).filter("prose >= 0.5").select("article_id"), "prose")
-    long = articles.filter(F.length("Cleaned_Text") >= 200)
-    model = language.fit(*language.sample_texts(long.join(bounded(prose), "article_id", "left_semi"), "article_id", "Cleaned_Text", "label"))
-    told = language.identify(long.select("article_id", "Cleaned_Text"), "article_id", "Cleaned_Text", model)
-    return told.join(bounded(prose), "article_id", "left_semi").join(articles.select("article_id", "label"), "article_id")
+    return labelled_articles(spark, d).filter(F.length("Cleaned_Text") >= 200), bounded(prose)
+
+
+def language_model(long: DataFrame, prose: DataFrame) -> language.Model:
+    return language.fit(*language.sample_texts(long.join(prose, "article_id", "left_semi"), "article_id", "Cleaned_Text", "label"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    told = materialize(languages(spark, d), "languages").filter("language is not null")
+    long, prose = long_prose(spark, d)
+    told = language.identify(long.select("article_id", "Cleaned_Text"), "article_id", "Cleaned_Text", language_model(long, prose))
+    told = told.join(prose, "article_id", "left_semi").join(labelled_articles(spark, d).select("article_id", "label"), "article_id")
+    told = materialize(told, "languages").filter("language is not null")
     main = told.filter("label is null or label <> language").select("article_id", F.lit(-1).alias("line_no"), F.col("language").alias("lang"))
     lines = told.select("article_id", F.explode("segments").alias("s")).select("article_id", "s.line_no", F.col("s.language").alias("lang"))
     return main.union(lines).distinct()
 
 
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
-    return languages(spark, d)
+    """article_id, label, language, confidence and segments, those of one sentence too, of every article."""
+    articles = labelled_articles(spark, d)
+    told = language.identify(articles.select("article_id", "Cleaned_Text"), "article_id", "Cleaned_Text", language_model(*long_prose(spark, d)), together=1)
+    return told.join(articles.select("article_id", "label"), "article_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -64,6 +64,18 @@ def test_mixed_and_odd(spark, labelled):
     assert got[1] == ("fi", [(2, "en")]) and got[2] == got[3] == got[4] == (None, []) and got[5] == ("fi", [])
 
 
+def test_every_article_has_its_language(spark, labelled, tmp_path):
+    fi = next(t for t, x in labelled if x == "fi").split("\n")[0]
+    en = "The old bridge was built in 1820 beside the quiet river and its engines."
+    odd = [(f"{fi}\n{en}", "fi"), ("Talo on uusi ja kylä on vanha.", "fi"), (None, "fi"), ("", None), ("| 1 || 2 || 3\n" * 30, "fi"), ("12 34 !!", None)]
+    rows = [(i, x, "t", t) for i, (t, x) in enumerate([*odd, *labelled])]
+    spark.createDataFrame(rows, "article_id long, lang string, Title string, Cleaned_Text string").coalesce(1).write.parquet(f"{tmp_path}/articles.parquet")
+    got = {r["article_id"]: r for r in queries.p2_languages(spark, str(tmp_path)).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    assert got[0]["language"] == "fi" and [(s["line_no"], s["language"]) for s in got[0]["segments"]] == [(1, "en")]
+    assert got[1]["language"] == "fi" and [got[i]["language"] for i in (2, 3, 4, 5)] == [None] * 4
+
+
 def test_nothing_to_fit_on(spark):
     model = language.fit([], [])
     df = spark.createDataFrame([(1, "Talo on uusi ja kylä vanha."), (2, None)], "id long, t string")
