@@ -1,10 +1,11 @@
-"""Problem 6: near-duplicate records by order min hash, with exact checks of the candidates.
+"""Problem 6: near-duplicate records by min hash, with exact checks of the candidates.
 
-Each text is brought to its consistent form, lower-cased and cut at white space; its k-mers are runs of k words, labelled by
-their occurrence. Each of several sketches takes the few k-mers with the least hash, in the order in which they stand in the
-text: texts share a sketch if they share these k-mers and their order, so the chance follows the edit similarity. Records
-that share a sketch are candidates; the candidates are verified, by the Jaccard similarity of their k-mer sets or by a banded
-alignment of their words.
+Each text is brought to its consistent form, lower-cased and cut at white space; its k-mers are runs of k words. Each of several
+sketches takes the few k-mers with the least hash. Records that share a sketch are candidates; the candidates are verified, by
+the Jaccard similarity of their k-mer sets or by a banded alignment of their words.
+
+For the Jaccard similarity a sketch holds labelled k-mers whatever their order, so that texts with parts reordered meet as often as others of their similarity. For the alignment it is an order min hash: k-mers are labelled by their
+occurrence and kept in the order in which they stand in the text, so the chance follows the edit similarity.
 
 Exact copies are one class from the start, so that a group of copies costs one record; sketches of a crowd of near copies
 join through AQE's skew splitting and no group is ever collected. Nothing is capped: every candidate is verified.
@@ -100,9 +101,22 @@ def label_occurrences(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(values: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH) -> np.ndarray:
-    """count order-min-hash keys for each row (rows without values must not be given)."""
-    labelled = label_occurrences(values, offsets)
+def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's different values in rising order, and the rows' offsets in them."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((values, rows))
+    values, rows = values[order], rows[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+    return values[new], np.append(0, np.cumsum(np.bincount(rows[new], minlength=len(offsets) - 1)))
+
+
+def sketches(values: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH, ordered: bool = True) -> np.ndarray:
+    """count min-hash keys for each row (rows without values must not be given), in the order of the text or of values."""
+    if ordered:
+        labelled = label_occurrences(values, offsets)
+    else:  # rising values: the order of places is the same in every row
+        labelled, offsets = distinct(label_occurrences(values, offsets), offsets)
     n_rows = len(offsets) - 1
     out = np.empty((n_rows, count), np.uint64)
     seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
@@ -185,7 +199,7 @@ def banded_distances(a: list[np.ndarray], b: list[np.ndarray], share: float) ->
     return np.minimum(out, longest)
 
 
-def _scan(df: DataFrame, key: str, text: str, k: int, min_words: int, count: int, per: int, what: str) -> DataFrame:
+def _scan(df: DataFrame, key: str, text: str, k: int, min_words: int, count: int, per: int, what: str, ordered: bool = False) -> DataFrame:
     """The rows of enough words: (id, fp, fp2) and sketch (what = sketch), kmers or words."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -201,15 +215,11 @@ def _scan(df: DataFrame, key: str, text: str, k: int, min_words: int, count: int
                 if not enough.any():
                     continue
                 if what == "sketch":
-                    flat, at = sketches(held, offsets, count, per).ravel(), np.arange(0, enough.sum() * count + 1, count)
+                    flat, at = sketches(held, offsets, count, per, ordered).ravel(), np.arange(0, enough.sum() * count + 1, count)
                 elif what == "words":
                     flat, at = held_words, word_offsets
                 else:
-                    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                    order = np.lexsort((held, rows))
-                    new = np.ones(len(held), bool)
-                    new[1:] = (held[order][1:] != held[order][:-1]) | (rows[order][1:] != rows[order][:-1])
-                    flat, at = held[order][new], np.append(0, np.cumsum(np.bincount(rows[order][new], minlength=len(offsets) - 1)))
+                    flat, at = distinct(held, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
                 ids = part.column("id").filter(pa.array(enough))
                 fps = [pa.array(fingerprints(held_words, word_offsets, s).view(np.int64)) for s in (1, 2)]
@@ -228,22 +238,21 @@ def near_duplicates(
     threshold: float = 0.5,
     count: int = SKETCHES,
     per: int = PER_SKETCH,
-    shared: int = 2,
     verify: str = "jaccard",
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, fp, fp2) has the class of each record, classes being texts of the same words;
     links (fp_a, fp2_a, fp_b, fp2_b, similarity) the pairs of classes at or above threshold, each once.
 
-    Pairs that share at least ``shared`` of ``count`` sketches are verified. At a Jaccard similarity of 0.5 and an unchanged
-    order each of 64 sketches of two k-mers agrees with a chance of a quarter: fewer than two agree in 1 of 4 million pairs.
+    Pairs that share any of ``count`` sketches are verified. At a Jaccard similarity of 0.5, whatever the order, each of 64
+    sketches of two k-mers agrees with a chance of nearly a quarter: none agrees in about 1 of 50 million pairs.
     """
-    scanned = materialize(_scan(df, key, text, k, min_words, count, per, "sketch"), "sketches")
+    scanned = materialize(_scan(df, key, text, k, min_words, count, per, "sketch", ordered=verify != "jaccard"), "sketches")
     members = scanned.select("id", "fp", "fp2")
     heads = members.groupBy("fp", "fp2").agg(F.min("id").alias("id"))
     rows = scanned.select("id", "fp", F.explode("sketch").alias("key")).join(bounded(heads.select("id", "fp")), ["id", "fp"], "left_semi").select("key", "fp")
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
-    pairs = materialize(met.groupBy("fp_a", "fp_b").count().filter(F.col("count") >= shared).select("fp_a", "fp_b"), "candidates")
+    pairs = materialize(met.distinct(), "candidates")
     wanted = heads.join(bounded(pairs.select(F.col("fp_a").alias("fp")).union(pairs.select("fp_b")).distinct()), "fp", "left_semi").select("id")
     texts = df.join(bounded(wanted.withColumnRenamed("id", key).distinct()), key, "left_semi")
     what = "kmers" if verify == "jaccard" else "words"

@@ -93,3 +93,18 @@ def test_alignment_verifies(spark, rnd):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"x{i}" for i in range(40)))], "id long, t string")
     links = N.near_duplicates(df, "id", "t", threshold=0.8, verify="alignment")[1].collect()
     assert len(links) == 1 and abs(links[0]["similarity"] - (1 - 1 / 41)) < 1e-9
+
+
+def linked(spark, pairs):
+    """How many of the pairs of texts are found."""
+    df = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "id long, t string")
+    got = {tuple(r) for r in N.record_pairs(*N.near_duplicates(df, "id", "t")).collect()}
+    return sum((2 * i, 2 * i + 1) in got for i in range(len(pairs)))
+
+
+def test_reversed_sentences_are_found(spark, rnd):
+    pairs = []
+    for i in range(12):
+        own = [" ".join(f"w{i}x{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(30)]
+        pairs.append((" ".join(own), " ".join(reversed(own))))
+    assert all(jaccard(*p) >= 0.5 for p in pairs) and linked(spark, pairs) == 12
