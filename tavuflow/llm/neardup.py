@@ -4,7 +4,8 @@ Each text is brought to its consistent form, lower-cased and cut at white space;
 sketches takes the few k-mers with the least hash. Records that share a sketch are candidates; the candidates are verified, by
 the Jaccard similarity of their k-mer sets or by a banded alignment of their words.
 
-For the Jaccard similarity a sketch holds labelled k-mers whatever their order, so that texts with parts reordered meet as often as others of their similarity. For the alignment it is an order min hash: k-mers are labelled by their
+For the Jaccard similarity a sketch holds distinct k-mers whatever their order and number, so that texts with parts reordered or
+repeated meet as often as others of their similarity. For the alignment it is an order min hash: k-mers are labelled by their
 occurrence and kept in the order in which they stand in the text, so the chance follows the edit similarity.
 
 Exact copies are one class from the start, so that a group of copies costs one record; sketches of a crowd of near copies
@@ -29,6 +30,8 @@ from tavuflow.llm.lookalike import normalize_codes
 from tavuflow.session import bounded, materialize
 
 K_WORDS, SKETCHES, PER_SKETCH = 3, 64, 2
+#: Texts of at most so many distinct k-mers also meet by each single one.
+_FEW = 8
 _INDEX_BITS = np.uint64(22)  # k-mers of one text that a sketch tells apart by place
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: k-mers worked on at a time, so that the arrays stay in the processor's cache.
@@ -112,11 +115,14 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketches(values: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH, ordered: bool = True) -> np.ndarray:
-    """count min-hash keys for each row (rows without values must not be given), in the order of the text or of values."""
+    """count min-hash keys for each row (rows without values must not be given), in the order of the text or of distinct values.
+
+    Unordered, the first keys of a row of few distinct values are these values: two of them need not share as many as per.
+    """
     if ordered:
         labelled = label_occurrences(values, offsets)
     else:  # rising values: the order of places is the same in every row
-        labelled, offsets = distinct(label_occurrences(values, offsets), offsets)
+        labelled, offsets = distinct(values, offsets)
     n_rows = len(offsets) - 1
     out = np.empty((n_rows, count), np.uint64)
     seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
@@ -148,6 +154,11 @@ def sketches(values: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, per
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(at >= 0, part[np.maximum(at, 0)], np.uint64(0)))
             out[row:stop, j] = key
         row = stop
+    if not ordered:
+        size = np.diff(offsets)
+        for j in range(min(_FEW, count)):
+            own = np.flatnonzero((size > j) & (size <= min(_FEW, count)))
+            out[own, j] = mix(labelled[offsets[own] + j] + np.uint64(0xE7037ED1A0B428DB))
     return out
 
 

@@ -108,3 +108,12 @@ def test_reversed_sentences_are_found(spark, rnd):
         own = [" ".join(f"w{i}x{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(30)]
         pairs.append((" ".join(own), " ".join(reversed(own))))
     assert all(jaccard(*p) >= 0.5 for p in pairs) and linked(spark, pairs) == 12
+
+
+def test_repeated_selves_are_found(spark, rnd):
+    pairs = []
+    for i in range(12):
+        own = " ".join(f"w{i}x{rnd.randrange(10**6)}" for _ in range(60))
+        pairs.append((own, " ".join([own] * (6 + i))))
+    pairs.append((" ".join(["sama"] * 40), " ".join(["sama"] * 40 + ["uusi"])))  # one k-mer in both, two in either
+    assert all(jaccard(*p) >= 0.5 for p in pairs) and linked(spark, pairs) == 13
