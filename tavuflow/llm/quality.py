@@ -31,8 +31,8 @@ TYPES = ("prose", "list", "table", "junk")
 COMMON_SHARE, STRUCTURED_SHARE = 0.15, 0.03
 #: Words in less than this share of a partition's texts of a label are not counted there: an error of at most this share.
 LOSS = 0.01
-#: Labels with fewer texts have no common words of their own.
-LEAST_TEXTS = 20
+#: And if it stands in so many texts, where a label's are so few that the share means less.
+LEAST_SEEN = 2
 
 # Marks that end a sentence or close one; bullets; marks of ordinary prose; signs of markup.
 TERMINAL = ".!?…。！？।॥:\"'”’»)]"
@@ -192,8 +192,9 @@ class Lines:
         counts = np.bincount((key[new] >> np.uint64(36)).astype(np.int64), minlength=len(self.start))
         return np.where(self.words >= 10, counts, self.words)
 
-    def patterns(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bit pattern of the functions that fire on each line, and its common words."""
+    def patterns(self, common: np.ndarray, judged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit pattern of the functions that fire on each line, and its common words; a want of these tells something only in
+        the rows judged."""
         known = self.common_counts(common)
         n_tok, n_word, size = np.maximum(self.tokens, 1), self.words, np.maximum(self.size, 1)
         share = known / np.maximum(n_tok, n_word)
@@ -215,7 +216,7 @@ class Lines:
             (n_word >= 10) & (distinct * 5 <= n_word * 2),
             self.long * 2 >= size,
             self.inner * 30 >= size,
-            (share < 0.03) & (n_word >= 10),
+            (share < 0.03) & (n_word >= 10) & judged[self.row],
         ]
         bits = np.zeros(len(self.start), np.int32)
         for i, f in enumerate(fires):
@@ -223,8 +224,8 @@ class Lines:
         return bits, known
 
 
-def common_words(df: DataFrame, text: str, label: Column) -> np.ndarray:
-    """Sorted hashes of the common words of all labels. The driver gets at most 1 / LOSS times a text's words of each label."""
+def common_words(df: DataFrame, text: str, label: Column) -> tuple[np.ndarray, list[str]]:
+    """Sorted hashes of the common words of all labels, and the labels that have such words. The driver gets at most 1 / LOSS times a text's words of each label."""
     rows = df.select(F.coalesce(label, F.lit("")).alias("label"), F.col(text).alias("text")).filter("text is not null")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,14 +273,16 @@ def common_words(df: DataFrame, text: str, label: Column) -> np.ndarray:
     chosen = (
         counts.filter("word <> 0")
         .join(F.broadcast(total), "label")  # one row for each label
-        .filter((F.col("texts") >= LEAST_TEXTS) & (F.col("seen") >= COMMON_SHARE * F.col("texts")) & (F.col("structured") <= STRUCTURED_SHARE * (F.col("plain") + F.col("structured"))))
+        .filter((F.col("seen") >= LEAST_SEEN) & (F.col("seen") >= COMMON_SHARE * F.col("texts")) & (F.col("structured") <= STRUCTURED_SHARE * (F.col("plain") + F.col("structured"))))
     )
-    found = chosen.select("word").distinct().toArrow().column(0).to_numpy()
-    return np.sort(found.view(np.uint64))
+    found = chosen.groupBy("word").agg(F.collect_set("label").alias("labels")).toArrow()
+    labels = sorted({x for own in found.column("labels").to_pylist() for x in own})
+    return np.sort(found.column("word").to_numpy().view(np.uint64)), labels
 
 
-def line_patterns(df: DataFrame, key: str, text: str, common: np.ndarray) -> DataFrame:
-    """One row for each text: key, its statistics, and the characters and lines by pattern."""
+def line_patterns(df: DataFrame, key: str, text: str, label: Column, common: np.ndarray, labels: list[str]) -> DataFrame:
+    """One row for each text: key, its statistics, and the characters and lines by pattern. Texts of a label without common words
+    are not judged by the want of them; those without a label may be of any."""
     shared = df.sparkSession.sparkContext.broadcast(common)  # bounded by the share: a label has few common words
     kind = df.schema[key].dataType.simpleString()
     schema = (
@@ -291,7 +294,7 @@ def line_patterns(df: DataFrame, key: str, text: str, common: np.ndarray) -> Dat
         for batch in batches:
             for part in blocks(batch, "text"):
                 lines = Lines(part.column("text"))
-                bits, known = lines.patterns(shared.value)
+                bits, known = lines.patterns(shared.value, np.array(part.column("judged").to_pylist(), bool))
                 n = part.num_rows
                 use = lines.filled
                 per = lambda x: np.bincount(lines.row[use], x[use], minlength=n)  # noqa: B023, E731
@@ -309,7 +312,8 @@ def line_patterns(df: DataFrame, key: str, text: str, common: np.ndarray) -> Dat
                     ["key", "n_chars", "n_lines", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "ending_share", "common_share", "bits", "chars", "lines"],
                 )
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scan, schema)
+    judged = F.coalesce(label, F.lit("")).isin("", *labels)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), judged.alias("judged")).mapInArrow(scan, schema)
 
 
 def learn(histogram: dict[int, int], rounds: int = 200, prior: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,8 +347,8 @@ def learn(histogram: dict[int, int], rounds: int = 200, prior: float = 0.05) ->
 def text_types(df: DataFrame, key: str, text: str, label: Column) -> DataFrame:
     """key, the statistics, the share of characters of each type by the posterior type of their lines, type and confidence."""
     spark = df.sparkSession
-    common = common_words(df, text, label)
-    rows = materialize(line_patterns(df, key, text, common), "lines")
+    common, labels = common_words(df, text, label)
+    rows = materialize(line_patterns(df, key, text, label, common, labels), "lines")
     counts = rows.select(F.explode(F.arrays_zip("bits", "lines")).alias("x")).groupBy("x.bits").agg(F.sum("x.lines").alias("n")).collect()  # at most 2 ** functions
     histogram = {r["bits"]: r["n"] for r in counts} or {0: 1}
     _, _, post = learn(histogram)

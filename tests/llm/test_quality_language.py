@@ -27,6 +27,19 @@ def test_types(spark, rnd):
     assert quality.text_types(empty, "id", "t", F.col("label")).count() == 0
 
 
+def test_labels_of_few_texts(spark, rnd):
+    rows = [(i, prose(rnd), "x") for i in range(60)]
+    other = lambda t: " ".join(f"q{w}" for w in t.lower().split()).capitalize()
+    rows += [(100 + i, other(prose(rnd)), "y") for i in range(6)] + [(200, other(prose(rnd)).replace("q", "z"), "z")]
+    rows += [(300 + i, "meli miti, meli! miti meli " * 30, "x") for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, t string, label string")
+    common, labels = quality.common_words(df, "t", F.col("label"))
+    assert len(common) and labels == ["x", "y"]
+    got = {r["id"]: r for r in quality.text_types(df, "id", "t", F.col("label")).collect()}
+    assert all(got[i]["common_share"] > 0.2 for i in range(100, 106))
+    assert all((got[i]["type"] == "prose") == (i < 300) for i in got)
+
+
 def test_learning_keeps_the_types_apart():
     histogram = {0b111: 500, 0b11: 300, 1 << 3: 50, 1 << 3 | 1 << 4: 80, 1 << 6 | 1 << 7: 90, 1 << 10 | 1 << 11: 40}
     share, chance, post = quality.learn(histogram)
