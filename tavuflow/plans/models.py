@@ -29,7 +29,7 @@ def bpe_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 def word2vec_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Words of the labelled sentences with their trained vectors' size and norm."""
     lines = tagged(spark, d).groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("tokens"))
-    model = embed.train_word2vec(lines, "tokens", size=32)
+    model = embed.train_word2vec(lines, "tokens")
     from tavuflow.functions.vectors import norm
 
     return embed.vectors(model).select("token", F.size("vector").cast("long").alias("dims"), (norm(F.col("vector")) > 0).alias("nonzero"))
@@ -41,13 +41,13 @@ def _scored(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def lr_tagger_eval(spark: SparkSession, d: str) -> DataFrame:
     rows = tagged(spark, d).join(table(spark, d, "folds"), "sent_id").select("sent_id", "pos", "word", "tag", "fold")
-    return _scored(tagger.cross_validate(materialize(rows, "tagged")), [])
+    return _scored(tagger.cross_validate(materialize(rows, "tagged"), rounds=500), [])
 
 
 def crf_tagger_eval(spark: SparkSession, d: str) -> DataFrame:
     """Report by language of a field fitted on a bounded sample of each fold's sentences."""
     rows = tagged(spark, d).join(table(spark, d, "folds"), "sent_id").select("lang", "sent_id", "pos", "word", "tag", "fold")
-    return _scored(crf.cross_validate(materialize(rows, "tagged"), ["lang"], rounds=30, sample=300), ["lang"])
+    return _scored(crf.cross_validate(materialize(rows, "tagged"), ["lang"]), ["lang"])
 
 
 QUERIES = {f.__name__: f for f in (bpe_tokens, bpe_vocabulary, word2vec_vectors, lr_tagger_eval, crf_tagger_eval)}
