@@ -47,16 +47,21 @@ _MASK = (
     f"|(?<=(?<![\\p{{L}}\\p{{M}}])(?iu:{_names(NUMERIC)})\\.)(?=[{_WS}]*\\p{{N}})"
     ")"
 )
-_BEGIN = f"[{_OPEN}]*[\\p{{Lu}}\\p{{Lt}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsDevanagari}}\\p{{IsThai}}\\p{{N}}]"
+_BEGIN = f"[{_OPEN}]*+[\\p{{Lu}}\\p{{Lt}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsDevanagari}}\\p{{IsThai}}\\p{{N}}]"
+# Possessive and never begun within a run of stops, so that a long run of marks or blanks is looked at once.
 _BOUNDARY = (
-    f"([{_STOPS}](?<=[^{_WS}|;].)[{_STOPS}]*[{_CLOSE}]*)(?=[{_WS}\\p{{Cf}}]+[{_OPEN}]*[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}\\p{{So}}]|{_BEGIN})"
-    f"|([{_FULL}]+(?![{_CLOSE}{_FULL}])|[{_FULL}]+[{_CLOSE}]+(?![{_CLOSE}]|{_GOES_ON}))"
+    f"([{_STOPS}](?<=[^{_WS}|;].)(?<![{_STOPS}][{_STOPS}].)[{_STOPS}]*+[{_CLOSE}]*+)(?=[{_WS}\\p{{Cf}}]++[{_OPEN}]*+[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}\\p{{So}}]|{_BEGIN})"
+    f"|((?<![{_FULL}])[{_FULL}]++(?:(?![{_CLOSE}])|[{_CLOSE}]++(?!{_GOES_ON})))"
 )
-_THAI = f"((?<=[\\u0e00-\\u0e7f\\p{{Nd}}])[ \\t\\u00a0\\u2000-\\u200a]+)(?=[\\u0e00-\\u0e7f])"
+_THAI = f"((?<=[\\u0e00-\\u0e7f\\p{{Nd}}])[ \\t\\u00a0\\u2000-\\u200a]++)(?=[\\u0e00-\\u0e7f])"
 _LINE_END = "(\\r\\n|[\\n\\r\\u000b\\u000c\\u0085\\u2028\\u2029])"
 _OPEN_LINE = f"[^\\n|\\t;]{{{WRAP_LEAST},{WRAP_MOST}}}"
-# A line of prose: five words or more, not more than three with digits, its last a word.
-_PROSE_LINE = f"(?=(?:[^\\n ]* +){{4}})(?!(?:[^\\n]*?\\p{{Nd}}[^\\n ]* +){{4}})({_OPEN_LINE})(?<=[\\p{{L}}\\p{{M}},])(?<!/a)[ ]*\\r?\\n"
+# The stops of a table row, from its first bar on: each match begins where the last one ended.
+_ROW_STOP = f"(?m)((?:^[ \\t]*+\\||\\G(?!^))[^\\n{_STOPS}{_FULL}]*+)[{_STOPS}{_FULL}]"
+# A line of prose: five words or more, not more than three with digits, its last a word. Its length is judged first and no part
+# is matched in two ways, so that the work is bounded by the line's length.
+_DIGIT_WORD = "(?:[^\\n \\p{Nd}]*+ ++)*+[^\\n \\p{Nd}]*+\\p{Nd}[^\\n ]*+ ++"
+_PROSE_LINE = f"(?={_OPEN_LINE} *+\\r?\\n)(?=(?:[^\\n ]*+ ){{4}})(?!(?:{_DIGIT_WORD}){{4}})({_OPEN_LINE})(?<=[\\p{{L}}\\p{{M}},])(?<!/a) *+\\r?\\n"
 _SURE = f"(?m)^{_PROSE_LINE}(?=[\\p{{Ll}}])"
 _SURE_CASELESS = f"(?m)^{_PROSE_LINE}(?=[\\u0900-\\u0963\\p{{Nd}}])"
 _INNER_DANDA = "[।?!][”]? [\\u0900-\\u0963]"
@@ -86,7 +91,8 @@ def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFra
     )
     t = F.when(wrapped, F.regexp_replace("t", pattern, F.lit(_WRAP))).otherwise(F.col("t"))
     rows = rows.select("key", "raw", t.alias("t"))
-    t = F.regexp_replace("t", _LINE_END, "$1" + _CUT)
+    t = F.when(F.col("t").contains("|"), F.regexp_replace("t", _ROW_STOP, "$1" + _DOT)).otherwise(F.col("t"))
+    t = F.regexp_replace(t, _LINE_END, "$1" + _CUT)
     t = F.regexp_replace(t, _MASK, _DOT)
     t = F.regexp_replace(t, _BOUNDARY, "$1$2" + _CUT)
     wide = F.octet_length(F.col("t")) - F.char_length(F.col("t")) >= 4  # two letters of three bytes: cheaper to see
