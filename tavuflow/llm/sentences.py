@@ -26,6 +26,8 @@ _STOPS = ".!?…"
 _FULL = "。！？｡।॥"
 # Japanese particles after which a quotation goes on.
 _GOES_ON = "と|って|の|が|は|を|に|も"
+#: Parts whose places are appended one by one.
+_BLOCK = 256
 #: A wrapped line has so many characters at least and at most.
 WRAP_LEAST, WRAP_MOST = 35, 110
 #: Lines that surely go on are this share of a hard-wrapped text's lines; its lines fill this share of the width.
@@ -75,6 +77,17 @@ def _unwrapped(text: Column) -> Column:
     return F.struct(sure.alias("sure"), F.size(F.regexp_extract_all(text, F.lit(_ANY), F.lit(1))).alias("lines"))
 
 
+def _places(parts: str, begin: str, raw: str | None) -> str:
+    """SQL: the places of the parts that are not blank, without white space at their ends; the first part stands at begin, where
+    raw (the original text, if the units are wanted too) begins."""
+    trim = _TRIM.replace("'", "''")
+    start, end = f"a.at + char_length(x) - char_length(trim(leading '{trim}' from x))", f"a.at + char_length(trim(trailing '{trim}' from x))"
+    unit = f", 'u', substring({raw}, {start} - {begin} + 1, char_length(trim(both '{trim}' from x)))" if raw else ""
+    return f"""aggregate({parts}, named_struct('at', {begin}, 'out', cast(array() as array<struct<s:int,e:int{',u:string' if raw else ''}>>)), (a, x) -> named_struct(
+              'at', a.at + char_length(x),
+              'out', if(char_length(trim(both '{trim}' from x)) = 0, a.out, array_append(a.out, named_struct('s', {start}, 'e', {end}{unit})))), a -> a.out)"""
+
+
 def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
     """(key, start_at, end_at, unit): the sentence units, their places in code points (end exclusive); unit only if wanted."""
     raw = F.col("raw")
@@ -98,16 +111,17 @@ def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFra
     wide = F.octet_length(F.col("t")) - F.char_length(F.col("t")) >= 4  # two letters of three bytes: cheaper to see
     t = F.when(wide & F.col("t").rlike("[\\u0e00-\\u0e7f]"), F.regexp_replace(t, _THAI, "$1" + _CUT)).otherwise(t)
     parts = rows.select("key", *(["raw"] if with_text else []), F.split(t, _CUT).alias("p"))
-    trim = _TRIM.replace("'", "''")
-    places = F.expr(
-        f"""aggregate(p, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int>>)), (a, x) -> named_struct(
-              'at', a.at + char_length(x),
-              'out', if(char_length(trim(both '{trim}' from x)) = 0, a.out, array_append(a.out, named_struct(
-                's', a.at + char_length(x) - char_length(trim(leading '{trim}' from x)),
-                'e', a.at + char_length(trim(trailing '{trim}' from x)))))), a -> a.out)"""
-    )
-    found = parts.select("key", *(["raw"] if with_text else []), F.explode(places).alias("u"))
+    # The places of few parts are appended one by one, those of many by blocks, as an append copies what is there and a cut of
+    # the text counts from its beginning.
+    own, last = f"slice(p, i * {_BLOCK} + 1, {_BLOCK})", f"cast((size(p) + {_BLOCK - 1}) / {_BLOCK} as int) - 1"
+    size = f"aggregate({own}, 0, (s, x) -> s + char_length(x))"
+    kind, held = (",raw:string", f", 'raw', substring(raw, a.at + 1, {size})") if with_text else ("", "")
+    begins = f"""aggregate(sequence(0, {last}), named_struct('at', 0, 'out', cast(array() as array<struct<i:int,at:int{kind}>>)),
+        (a, i) -> named_struct('at', a.at + {size}, 'out', array_append(a.out, named_struct('i', i, 'at', a.at{held}))), a -> a.out)"""
+    blocks = f"flatten(transform({begins}, b -> {_places(own.replace('i *', 'b.i *'), 'b.at', 'b.raw' if with_text else None)}))"
+    places = F.expr(f"if(size(p) <= {_BLOCK}, {_places('p', '0', 'raw' if with_text else None)}, {blocks})")
+    found = parts.select("key", F.explode(places).alias("u"))
     out = [F.col("key").alias(key), F.col("u.s").alias("start_at"), F.col("u.e").alias("end_at")]
     if with_text:
-        out.append(F.expr("substring(raw, u.s + 1, u.e - u.s)").alias("unit"))
+        out.append(F.col("u.u").alias("unit"))
     return found.select(*out)

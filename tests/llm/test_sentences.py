@@ -40,6 +40,8 @@ def test_long_repeated_empty(spark):
     df = spark.createDataFrame([(1, long), (2, "A b."), (2, "A b."), (3, "x y.")], "id long, t string")
     got = sentences.units(df, "id", "t", with_text=False).groupBy("id").count().collect()
     assert {r["id"]: r["count"] for r in got} == {1: 20_000, 2: 2, 3: 1}
+    units = sentences.units(df.filter("id = 1"), "id", "t").orderBy("start_at").collect()
+    assert [(r["start_at"], r["end_at"], r["unit"]) for r in units] == [(i * 14, i * 14 + 13, "Talo on uusi.") for i in range(20_000)]
     assert sentences.units(df.limit(0), "id", "t").count() == 0
 
 
