@@ -1,12 +1,15 @@
-"""Problem 6: near-duplicate records by min hash, with exact checks of the candidates.
+"""Problem 6: near-duplicate records by order min hash, verified by banded alignment and an exact check.
 
-Each text is brought to its consistent form, lower-cased and cut at white space; its k-mers are runs of k words. Each of several
-sketches takes the few k-mers with the least hash. Records that share a sketch are candidates; the candidates are verified, by
-the Jaccard similarity of their k-mer sets or by a banded alignment of their words.
+Each text is brought to its consistent form, lower-cased and cut at white space; its k-mers are runs of k words. A sketch takes
+the few k-mers with the least hash. ORDERED of the sketches are order min hashes: their k-mers are labelled by occurrence and
+kept in the order in which they stand in the text, so the chance to agree follows the edit similarity. FREE of them hold distinct
+k-mers whatever their order and number, so that texts with parts reordered or repeated meet as often as others of their Jaccard
+similarity. Records that share any sketch are candidates.
 
-For the Jaccard similarity a sketch holds distinct k-mers whatever their order and number, so that texts with parts reordered or
-repeated meet as often as others of their similarity. For the alignment it is an order min hash: k-mers are labelled by their
-occurrence and kept in the order in which they stand in the text, so the chance follows the edit similarity.
+A candidate is dropped unread only where a bound proves its Jaccard similarity to be below the threshold: the k-mers in both are
+at most the common bits of two bit sets, and those that share a bit with another. The rest is verified on word sequences: a
+banded alignment gives the edits, and few edits prove the similarity, as one edit changes at most k k-mers; the exact similarity
+of the k-mer sets decides what the alignment leaves open. With verify="alignment" the edit similarity itself decides.
 
 Exact copies are one class from the start, so that a group of copies costs one record; sketches of a crowd of near copies
 join through AQE's skew splitting and no group is ever collected. Nothing is capped: every candidate is verified.
@@ -29,10 +32,15 @@ from tavuflow.llm.codepoints import assigned, blocks, mix, run_hashes, to_codes,
 from tavuflow.llm.lookalike import normalize_codes
 from tavuflow.session import bounded, materialize
 
-K_WORDS, SKETCHES, PER_SKETCH = 3, 64, 2
+#: Words of a k-mer; order min hashes and order-free sketches of a text; k-mers of a sketch.
+K_WORDS, ORDERED, FREE, PER_SKETCH = 3, 24, 40, 2
+#: Bits of a text's k-mer set.
+SET_BITS = 1024
+#: Cells of the alignment table of all pairs aligned in step; a pair whose own band holds more is left to the exact check.
+CELLS = 20_000_000
 #: Texts of at most so many distinct k-mers also meet by each single one.
 _FEW = 8
-_INDEX_BITS = np.uint64(22)  # k-mers of one text that a sketch tells apart by place
+_INDEX_BITS = 22  # k-mers of one text that a sketch tells apart by place; more for a longer text
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: k-mers worked on at a time, so that the arrays stay in the processor's cache.
 _CHUNK = 40_000
@@ -74,14 +82,18 @@ def kmers(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     starts, ends, rows = word_runs(codes, offsets, whitespace_table_cached())
     words = run_hashes(codes, starts, ends)
     word_offsets = np.searchsorted(rows, np.arange(len(offsets)))
-    counts = np.diff(word_offsets)
-    sizes = np.maximum(counts - k + 1, 0)
-    kmer_offsets = np.append(0, np.cumsum(sizes))
-    first = np.repeat(word_offsets[:-1] - kmer_offsets[:-1], sizes) + np.arange(kmer_offsets[-1])
+    return words, word_offsets, *runs(words, word_offsets, k)
+
+
+def runs(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of k words of a row, and the rows' offsets in them."""
+    sizes = np.maximum(np.diff(offsets) - k + 1, 0)
+    at = np.append(0, np.cumsum(sizes))
+    first = np.repeat(offsets[:-1] - at[:-1], sizes) + np.arange(at[-1])
     out = np.full(len(first), np.uint64(k))
     for i in range(k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[first + i])
-    return words, word_offsets, out, kmer_offsets
+    return out, at
 
 
 @lru_cache(maxsize=1)
@@ -114,26 +126,23 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[new], np.append(0, np.cumsum(np.bincount(rows[new], minlength=len(offsets) - 1)))
 
 
-def sketches(values: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH, ordered: bool = True) -> np.ndarray:
-    """count min-hash keys for each row (rows without values must not be given), in the order of the text or of distinct values.
+def sketches(values: np.ndarray, offsets: np.ndarray, count: int, per: int = PER_SKETCH, ordered: bool = True) -> np.ndarray:
+    """count min-hash keys for each row (rows without values must not be given): of labelled values in the order of the text, or
+    of values that are each row's distinct ones in rising order.
 
     Unordered, the first keys of a row of few distinct values are these values: two of them need not share as many as per.
     """
-    if ordered:
-        labelled = label_occurrences(values, offsets)
-    else:  # rising values: the order of places is the same in every row
-        labelled, offsets = distinct(values, offsets)
+    labelled = label_occurrences(values, offsets) if ordered else values
     n_rows = len(offsets) - 1
     out = np.empty((n_rows, count), np.uint64)
-    seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-    low = (np.uint64(1) << _INDEX_BITS) - np.uint64(1)
+    seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB if ordered else 0xA0761D6478BD642F))
     row = 0
     while row < n_rows:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _CHUNK, side="right")) - 1)
         part = labelled[offsets[row] : offsets[stop]]
         begin = offsets[row:stop] - offsets[row]
         place = np.arange(len(part), dtype=np.uint64) - np.repeat(begin, np.diff(offsets[row : stop + 1])).astype(np.uint64)
-        place &= low
+        low = np.uint64((1 << max(_INDEX_BITS, len(part).bit_length())) - 1)
         for j in range(count):
             h = part ^ seeds[j]
             h *= np.uint64(0xD6E8FEB86659FD93)
@@ -158,10 +167,17 @@ def sketches(values: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, per
         size = np.diff(offsets)
         for j in range(min(_FEW, count)):
             own = np.flatnonzero((size > j) & (size <= min(_FEW, count)))
-            out[own, j] = mix(labelled[offsets[own] + j] + np.uint64(0xE7037ED1A0B428DB))
+            out[own, j] = mix(values[offsets[own] + j] + np.uint64(0xE7037ED1A0B428DB))
     return out
 
 
+def bit_sets(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SET_BITS bits of each row's values, as rows of 64-bit numbers."""
+    out = np.zeros((len(offsets) - 1, SET_BITS), bool)
+    out[np.repeat(np.arange(len(out)), np.diff(offsets)), (values & np.uint64(SET_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def fingerprints(words: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each row's word sequence (rows without words must not be given)."""
     place = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -210,34 +226,72 @@ def banded_distances(a: list[np.ndarray], b: list[np.ndarray], share: float) ->
     return np.minimum(out, longest)
 
 
-def _scan(df: DataFrame, key: str, text: str, k: int, min_words: int, count: int, per: int, what: str, ordered: bool = False) -> DataFrame:
-    """The rows of enough words: (id, fp, fp2) and sketch (what = sketch), kmers or words."""
+def common_values(a: np.ndarray, a_offsets: np.ndarray, b: np.ndarray, b_offsets: np.ndarray) -> np.ndarray:
+    """How many values each row of a shares with the same row of b; the values of a row differ."""
+    rows = np.arange(len(a_offsets) - 1)
+    row = np.concatenate([np.repeat(rows, np.diff(a_offsets)), np.repeat(rows, np.diff(b_offsets))])
+    values = np.concatenate([a, b])
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    twice = (values[1:] == values[:-1]) & (row[1:] == row[:-1])
+    return np.bincount(row[1:][twice], minlength=len(rows))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all rows of a list array, and the rows' offsets in them."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def aligned(a: np.ndarray, a_offsets: np.ndarray, b: np.ndarray, b_offsets: np.ndarray, share: float) -> np.ndarray:
+    """Edits between the word sequences of each row of a and of b: exact up to share of the longer one's words, -1 beyond and
+    where a pair's band holds more than CELLS cells. Pairs of like lengths are aligned in step."""
+    la, lb = np.diff(a_offsets), np.diff(b_offsets)
+    longest = np.maximum(la, lb)
+    most = np.floor(share * longest).astype(np.int64)
+    cells = (longest + 1) * (2 * most + 3)
+    out = np.full(len(la), -1, np.int64)
+    order = np.argsort(longest, kind="stable")
+    order = order[(abs(la - lb) <= most)[order] & (cells <= CELLS)[order]]
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and cells[order[stop]] * (stop + 1 - at) <= CELLS:
+            stop += 1
+        own = order[at:stop]
+        left, right = [a[a_offsets[i] : a_offsets[i + 1]] for i in own], [b[b_offsets[i] : b_offsets[i + 1]] for i in own]
+        edits = banded_distances(left, right, share)
+        out[own] = np.where(edits <= most[own], edits, -1)
+        at = stop
+    return out
+
+
+def _scan(df: DataFrame, key: str, text: str, k: int, min_words: int, fields: str, made) -> DataFrame:
+    """(id, fp, fp2) and fields of the rows of enough words; made gives their arrays from words, k-mers and the offsets of both."""
     kind = df.schema[key].dataType.simpleString()
+    names = ["id", "fp", "fp2", *(f.split()[0] for f in fields.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
                 words, word_offsets, values, offsets = kmers(part.column("text"), k)
                 enough = np.diff(word_offsets) >= max(min_words, k)
+                if not enough.any():
+                    continue
                 held_words = words[np.repeat(enough, np.diff(word_offsets))]
                 word_offsets = np.append(0, np.cumsum(np.diff(word_offsets)[enough]))
                 held = values[np.repeat(enough, np.diff(offsets))]
                 offsets = np.append(0, np.cumsum(np.diff(offsets)[enough]))
-                if not enough.any():
-                    continue
-                if what == "sketch":
-                    flat, at = sketches(held, offsets, count, per, ordered).ravel(), np.arange(0, enough.sum() * count + 1, count)
-                elif what == "words":
-                    flat, at = held_words, word_offsets
-                else:
-                    flat, at = distinct(held, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
                 ids = part.column("id").filter(pa.array(enough))
                 fps = [pa.array(fingerprints(held_words, word_offsets, s).view(np.int64)) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([ids, *fps, lists], ["id", "fp", "fp2", what])
+                yield pa.RecordBatch.from_arrays([ids, *fps, *made(held_words, word_offsets, held, offsets)], names)
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    return rows.mapInArrow(run, f"id {kind}, fp bigint, fp2 bigint, {what} array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, fp bigint, fp2 bigint, {fields}")
+
+
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
 def near_duplicates(
@@ -247,53 +301,82 @@ def near_duplicates(
     k: int = K_WORDS,
     min_words: int = 20,
     threshold: float = 0.5,
-    count: int = SKETCHES,
+    ordered: int = ORDERED,
+    free: int = FREE,
     per: int = PER_SKETCH,
     verify: str = "jaccard",
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, fp, fp2) has the class of each record, classes being texts of the same words;
-    links (fp_a, fp2_a, fp_b, fp2_b, similarity) the pairs of classes at or above threshold, each once.
+    links (fp_a, fp2_a, fp_b, fp2_b, similarity, edits) the pairs of classes at or above threshold, each once, where edits is
+    null if they are more than the band holds.
 
-    Pairs that share any of ``count`` sketches are verified. At a Jaccard similarity of 0.5, whatever the order, each of 64
-    sketches of two k-mers agrees with a chance of nearly a quarter: none agrees in about 1 of 50 million pairs.
+    Pairs that share any sketch are candidates. At a Jaccard similarity of 0.5, whatever the order, each of 40 sketches of two
+    k-mers agrees with a chance of nearly a quarter: none agrees in about 1 of 100,000 pairs; where the order is kept, the 24
+    order min hashes bring that to about 1 of 100 million.
     """
-    scanned = materialize(_scan(df, key, text, k, min_words, count, per, "sketch", ordered=verify != "jaccard"), "sketches")
+    if verify not in ("jaccard", "alignment"):
+        raise ValueError("verify is jaccard or alignment")
+
+    def sketched(words, word_offsets, values, offsets):
+        own, at = distinct(values, offsets)
+        keys = np.concatenate([sketches(values, offsets, ordered, per), sketches(own, at, free, per, ordered=False)], axis=1)
+        bits = bit_sets(own, at)
+        lists = [_lists(x.ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in (keys, bits)]
+        return [pa.array(np.diff(at)), lists[1], lists[0]]
+
+    scanned = materialize(_scan(df, key, text, k, min_words, "n bigint, bits array<bigint>, sketch array<bigint>", sketched), "sketches")
     members = scanned.select("id", "fp", "fp2")
     heads = members.groupBy("fp", "fp2").agg(F.min("id").alias("id"))
-    rows = scanned.select("id", "fp", F.explode("sketch").alias("key")).join(bounded(heads.select("id", "fp")), ["id", "fp"], "left_semi").select("key", "fp")
+    own = bounded(heads.select("id", "fp"))
+    rows = scanned.select("id", "fp", "sketch").join(own, ["id", "fp"], "left_semi").select("fp", F.explode("sketch").alias("key"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
-    pairs = materialize(met.distinct(), "candidates")
+    pairs = met.distinct()
+    sets = scanned.select("id", "fp", "fp2", "n", "bits").join(own, ["id", "fp"], "left_semi").drop("id")
+    for side in "ab":
+        pairs = pairs.join(sets.toDF(*(f"{c}_{side}" for c in sets.columns)), f"fp_{side}")
+    if verify == "jaccard":
+        most = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+        spare = lambda s: F.col(f"n_{s}") - F.aggregate(f"bits_{s}", F.lit(0), lambda t, x: t + F.bit_count(x))
+        pairs = pairs.filter((most + F.least(spare("a"), spare("b"))) * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    pairs = materialize(pairs.select("fp_a", "fp2_a", "fp_b", "fp2_b").distinct(), "candidates")
     wanted = heads.join(bounded(pairs.select(F.col("fp_a").alias("fp")).union(pairs.select("fp_b")).distinct()), "fp", "left_semi").select("id")
     texts = df.join(bounded(wanted.withColumnRenamed("id", key).distinct()), key, "left_semi")
-    what = "kmers" if verify == "jaccard" else "words"
-    sets = _scan(texts, key, text, k, min_words, count, per, what).select("fp", "fp2", what).dropDuplicates(["fp", "fp2"])
+    words = _scan(texts, key, text, k, min_words, "words array<bigint>", lambda words, at, *_: [_lists(words, at)])
+    words = words.select("fp", "fp2", "words").repartition("fp", "fp2").dropDuplicates(["fp", "fp2"])
     for side in "ab":
-        own = sets.select(F.col("fp").alias(f"fp_{side}"), F.col("fp2").alias(f"fp2_{side}"), F.col(what).alias(f"set_{side}"))
-        pairs = pairs.join(own, f"fp_{side}")
-    if verify == "jaccard":
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        similarity = both / (F.size("set_a") + F.size("set_b") - both)
-    else:
-        share = 1 - threshold
-
-        @F.pandas_udf("double")
-        def aligned(x, y):
-            import pandas as pd
-
-            out, size = np.zeros(len(x)), 256
-            order = np.argsort([len(v) for v in x], kind="stable")
-            for at in range(0, len(order), size):
-                own = order[at : at + size]
-                left, right = [np.asarray(x.iloc[i]).view(np.uint64) for i in own], [np.asarray(y.iloc[i]).view(np.uint64) for i in own]
-                out[own] = 1 - banded_distances(left, right, share) / np.maximum([len(v) for v in left], [len(v) for v in right])
-            return pd.Series(out)
-
-        similarity = aligned("set_a", "set_b")
-    links = pairs.select("fp_a", "fp2_a", "fp_b", "fp2_b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+        pairs = pairs.join(words.toDF(*(f"{c}_{side}" for c in words.columns)), [f"fp_{side}", f"fp2_{side}"])
+    # One edit changes at most k k-mers: with more edits than this no alignment proves a similarity of threshold.
+    band = 1 - threshold if verify == "alignment" else (1 - threshold) / (1 + threshold) / k
+    names = ["fp_a", "fp2_a", "fp_b", "fp2_b"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, at_x), (y, at_y) = (_flat(batch.column(f"words_{s}")) for s in "ab")
+            edits = aligned(x, at_x, y, at_y, band)
+            if verify == "alignment":
+                similarity = 1 - edits / np.maximum(np.diff(at_x), np.diff(at_y))
+                keep = (edits >= 0) & (similarity >= threshold)
+            else:
+                (x, at_x), (y, at_y) = (distinct(*runs(v, at, k)) for v, at in ((x, at_x), (y, at_y)))
+                n_x, n_y = np.diff(at_x), np.diff(at_y)
+                both = common_values(x, at_x, y, at_y)
+                similarity = both / (n_x + n_y - both)
+                proven = (edits >= 0) & (similarity_at_least(n_x, n_y, k * edits) >= threshold)
+                keep = proven | (similarity >= threshold)
+            told = [pa.array(similarity), pa.array(edits, mask=edits < 0)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *told], [*names, "similarity", "edits"]).filter(pa.array(keep))
+
+    links = pairs.mapInArrow(check, ", ".join(f"{c} bigint" for c in names) + ", similarity double, edits bigint")
     return members, links
 
 
+def similarity_at_least(n_a: np.ndarray, n_b: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """The least Jaccard similarity of sets of these sizes if at most so many members of either are not in the other."""
+    both = np.maximum(np.maximum(n_a, n_b) - lost, 0)
+    return both / (n_a + n_b - both)
+
+
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id_a, id_b), the smaller first: the pairs of records of linked classes and of the same class."""
     a = members.select(F.col("fp").alias("fp_a"), F.col("fp2").alias("fp2_a"), F.col("id").alias("x"))
@@ -303,11 +386,12 @@ def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return near.union(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a <> id_b").distinct()
 
 
-def groups(members: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, group_id): the connected groups of records, named by their least class; a record without links is its own class's.
 
     Alternating large-star and small-star rounds on the links between classes: each round only takes minima of neighbours by
-    aggregation, writes its edges to the shared folder, and the number of rounds grows with the logarithm of a group's size.
+    aggregation, writes its edges to the shared folder, and the number of rounds grows with the logarithm of a group's size. It
+    is an error if the edges still change after so many rounds.
     """
     name = lambda s: F.struct(F.col(f"fp_{s}").alias("f"), F.col(f"fp2_{s}").alias("g"))
     edges = materialize(links.select(F.greatest(name("a"), name("b")).alias("u"), F.least(name("a"), name("b")).alias("v")).distinct(), "edges")
@@ -323,13 +407,12 @@ def groups(members: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    state = None
     for _ in range(rounds):
-        edges = materialize(star(star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == state:
+        before, edges = edges, materialize(star(star(edges, True), False), "edges")
+        if edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        state = now
+    else:
+        raise RuntimeError(f"the groups still change after {rounds} rounds")
     own = F.struct(F.col("fp").alias("f"), F.col("fp2").alias("g"))
     at = edges.select(F.col("u").alias("c"), F.col("v").alias("r"))
     named = members.withColumn("c", own).join(at, "c", "left").withColumn("r", F.coalesce("r", "c"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tavuflow.llm import neardup as N
 
@@ -117,3 +118,48 @@ def test_repeated_selves_are_found(spark, rnd):
         pairs.append((own, " ".join([own] * (6 + i))))
     pairs.append((" ".join(["sama"] * 40), " ".join(["sama"] * 40 + ["uusi"])))  # one k-mer in both, two in either
     assert all(jaccard(*p) >= 0.5 for p in pairs) and linked(spark, pairs) == 13
+
+
+def test_alignment_and_bounds(rnd):
+    pairs = []
+    for _ in range(200):
+        a = [rnd.randrange(60) for _ in range(rnd.randrange(3, 60))]
+        b = list(a)
+        for _ in range(rnd.randrange(6)):
+            b[rnd.randrange(len(b))] = rnd.randrange(60)
+            b.insert(rnd.randrange(len(b) + 1), rnd.randrange(60))
+        pairs.append((a, b))
+    flat = lambda rows: (np.array([x for r in rows for x in r], np.uint64), np.append(0, np.cumsum([len(r) for r in rows])))
+    (x, at_x), (y, at_y) = flat([a for a, _ in pairs]), flat([b for _, b in pairs])
+    edits = N.aligned(x, at_x, y, at_y, 0.4)
+    sets = [N.distinct(*N.runs(v, at, 3)) for v, at in ((x, at_x), (y, at_y))]
+    both = N.common_values(*sets[0], *sets[1])
+    bits = [N.bit_sets(*s) for s in sets]
+    for i, (a, b) in enumerate(pairs):
+        true, most = distance(a, b), int(0.4 * max(len(a), len(b)))
+        assert edits[i] == (true if true <= most else -1)
+        ka, kb = ({tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (a, b))
+        assert both[i] == len(ka & kb)
+        if edits[i] >= 0:
+            assert N.similarity_at_least(len(ka), len(kb), 3 * edits[i]) <= both[i] / max(1, len(ka | kb)) + 1e-12
+        common = sum(bin(int(p & q)).count("1") for p, q in zip(bits[0][i], bits[1][i], strict=True))
+        spare = [n - sum(bin(int(p)).count("1") for p in own[i]) for n, own in zip((len(ka), len(kb)), bits, strict=True)]
+        assert both[i] <= common + min(spare)
+    assert (N.aligned(x, at_x, y, at_y, 0.4) == edits).all() and (edits >= 0).any() and (edits < 0).any()
+
+
+def test_long_pairs_are_left_to_the_exact_check(spark, monkeypatch, rnd):
+    monkeypatch.setattr(N, "CELLS", 100)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:100] + ["uusi"] + base[100:]))], "id long, t string")
+    link = N.near_duplicates(df, "id", "t")[1].collect()
+    assert len(link) == 1 and link[0]["similarity"] > 0.9
+
+
+def test_groups_that_do_not_settle(spark):
+    chain = spark.createDataFrame([(i, i, i + 1, i + 1) for i in range(40)], "fp_a long, fp2_a long, fp_b long, fp2_b long")
+    members = spark.createDataFrame([(i, i, i) for i in range(42)], "id long, fp long, fp2 long")
+    named = {r["id"]: r["group_id"] for r in N.groups(members, chain).collect()}
+    assert len({named[i] for i in range(41)}) == 1 and named[41] != named[0]
+    with pytest.raises(RuntimeError):
+        N.groups(members, chain, rounds=1)
