@@ -62,6 +62,14 @@ def mean_of_folds(fold_values: DataFrame, by: list[str], value: str) -> DataFram
     return fold_values.groupBy(*by).agg(F.avg(value).alias(value))
 
 
+def sum_of_folds(runs: DataFrame, by: list[str]) -> DataFrame:
+    """by, folds, and over the folds: numbers of sentences and epochs summed, whether all runs are right, the mean losses."""
+    return runs.groupBy(*by).agg(
+        F.count("*").alias("folds"), F.sum("sentences").alias("sentences"), F.sum("epochs").alias("epochs"), F.bool_and("right").alias("right"),
+        F.avg("first").alias("first_loss"), F.avg("best").alias("best_loss"),
+    )
+
+
 def log_loss(rows: DataFrame, chance: str, by: list[str], epsilon: float = 1e-15) -> DataFrame:
     """by and the mean of the negative log of the true label's chance."""
     return rows.groupBy(*by).agg(F.avg(-F.log(F.col(chance) + epsilon)).alias("loss"))

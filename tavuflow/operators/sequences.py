@@ -65,6 +65,29 @@ def context_similarity(tokens: DataFrame, sent: str, order: list[str], vector: s
     return flat.withColumn("_raw", raw).filter(F.abs("_raw") > least).withColumn("similarity", sim).withColumn("offset", F.col("x.offset")).drop("x", "_raw", "_n")
 
 
+def feature_rows(tokens: DataFrame, sent: str, order: list[str], word: str, vector: str | None = None, context: int = 5, dims: int = 15, least: float = 0.1) -> DataFrame:
+    """tokens with features, an array of (name, value): the lower-cased word, high, mid or low for each of the vector's first
+    numbers, the place as a share of the sentence, and the similarity to each neighbour up to context places away, if above least
+    in size. Similarities are made once for a pair: the later token reads the earlier one's. Null words and vectors give none."""
+    at = Window.partitionBy(sent).orderBy(*order)
+    rows = position_ratio(tokens, sent, order, "_ratio").drop("idx", "length")
+    one = lambda name, value: F.struct(name.alias("name"), value.cast("double").alias("value"))
+    parts = [F.array(one(F.concat(F.lit("token.lower="), F.lower(word)), F.lit(1.0)), one(F.lit("position_ratio"), F.col("_ratio")))]
+    if vector:
+        rows = rows.withColumn("_n", V.norm(F.col(vector)))
+        ahead = {k: F.lead(F.struct(F.col(vector).alias("v"), F.col("_n").alias("n")), k).over(at) for k in range(1, context + 1)}
+        rows = rows.withColumns({f"_o{k}": x for k, x in ahead.items()})
+        sound = lambda k: (F.col("_n") > 0) & (F.col(f"_o{k}.n") > 0)
+        rows = rows.withColumns({f"_s{k}": F.when(sound(k), V.dot(F.col(vector), F.col(f"_o{k}.v")) / (F.col("_n") * F.col(f"_o{k}.n"))) for k in ahead}).drop(*(f"_o{k}" for k in ahead))
+        rows = rows.withColumns({f"_b{k}": F.lag(f"_s{k}", k).over(at) for k in ahead})
+        parts.append(F.transform(V.buckets(F.col(vector), dims), lambda x, i: one(F.concat(F.lit("emb_dim_"), i.cast("string"), F.lit("="), x), F.lit(1.0))))
+        near = {**{-k: F.col(f"_b{k}") for k in ahead}, **{k: F.col(f"_s{k}") for k in ahead}}
+        parts.append(F.array(*[one(F.lit(f"context_{k}_similarity"), F.when(F.abs(s) > least, F.round(s, 3))) for k, s in sorted(near.items())]))
+    empty = F.array().cast("array<struct<name:string,value:double>>")
+    features = F.filter(F.flatten(F.array(*[F.coalesce(p, empty) for p in parts])), lambda x: x["name"].isNotNull() & x["value"].isNotNull())
+    return rows.withColumn("features", features).select(*tokens.columns, "features")
+
+
 def _bucket(key: str, seed: int, size: int) -> Column:
     """A number below size from a digest that other engines can compute too."""
     digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tavuflow.session import materialize
+
 
 def prepared(tokens: DataFrame, word: str = "word", size: int = 1 << 12) -> DataFrame:
     """tokens with features: the lower-cased word, its ends and its shape, hashed."""
@@ -37,14 +42,17 @@ def losses(model) -> list[tuple[int, float]]:
     return list(enumerate(model.summary.objectiveHistory))
 
 
-def cross_validate(tokens: DataFrame, rounds: int = 20) -> DataFrame:
-    """tokens (with fold) and pred: each fold predicted by a model of the others; one job for each fold."""
+def cross_validate(tokens: DataFrame, rounds: int = 500) -> DataFrame:
+    """tokens (with fold) and pred: each fold predicted by a model of the others. Features are hashed once; the folds' fits, each a
+    row of small jobs over all rows, run side by side."""
     ids = label_ids(tokens)
     names = F.array(*[F.lit(x) for x in ids.labels])
-    ready = ids.transform(prepared(tokens)).drop("probability")
+    ready = materialize(ids.transform(prepared(tokens)).select(*tokens.columns, "label", "features"), "features")
+    folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())  # a few numbers
+    with ThreadPoolExecutor(max(len(folds), 1)) as pool:
+        models = list(pool.map(inheritable_thread_target(lambda fold: fit_logistic(ready.filter(F.col("fold") != fold), rounds)), folds))
     out = None
-    for fold in sorted(r["fold"] for r in tokens.select("fold").distinct().collect()):
-        model = fit_logistic(ready.filter(F.col("fold") != fold), rounds)
+    for fold, model in zip(folds, models, strict=True):
         part = model.transform(ready.filter(F.col("fold") == fold)).withColumn("pred", names[F.col("prediction").cast("int")])
         part = part.select(*tokens.columns, "pred")
         out = part if out is None else out.unionByName(part)

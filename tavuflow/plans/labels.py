@@ -15,7 +15,7 @@ from tavuflow.operators import tokenize as K
 from tavuflow.session import table
 
 TOKENS_SQL = "toks as (select * from ner_tokens qualify row_number() over (partition by token_id order by loaded_at desc nulls last) = 1)"
-_TAGGED = f"{TOKENS_SQL}, tagged as (select * from toks where word is not null and tag is not null)"
+TAGGED_SQL = f"{TOKENS_SQL}, tagged as (select * from toks where word is not null and tag is not null)"
 
 
 def clean_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -160,30 +160,30 @@ QUERIES = {
     "compat_pairing": compat_pairing,
 }
 SQL = {
-    "tag_support_by_strategy": f"with {_TAGGED}, s as ({_STRATS}) select lang, tag, strategy, sum(case when n = 0 then 1 else greatest(length(word) - n + 1, 0) end)::bigint as support from tagged, s group by all",
+    "tag_support_by_strategy": f"with {TAGGED_SQL}, s as ({_STRATS}) select lang, tag, strategy, sum(case when n = 0 then 1 else greatest(length(word) - n + 1, 0) end)::bigint as support from tagged, s group by all",
     "latest_tokens": f"with {TOKENS_SQL} select token_id, lang, sent_id, pos, word, tag from toks",
-    "propagated_support_bigrams": f"with {_TAGGED}, g as (select lang, tag, {_GRAMS.format(n=2)} from tagged) select lang, tag, count(*) as support, count(distinct token) as distinct_tokens from g group by all",
-    "propagated_support_5grams": f"with {_TAGGED}, g as (select lang, tag, {_GRAMS.format(n=5)} from tagged) select lang, tag, count(*) as support, count(distinct token) as distinct_tokens from g group by all",
-    "propagated_tokens_topk": f"with {_TAGGED}, g as (select tag, {_GRAMS.format(n=2)} from tagged), c as (select tag, token, count(*) as n from g group by all) select tag, token, n, row_number() over (partition by tag order by n desc, token) as place from c qualify place <= 10",
-    "ngram_vanished_words": f"with {_TAGGED} select lang, n::int as n, count(*) filter (where length(word) < n) as vanished from tagged, (select unnest([2, 3, 4, 5]) as n) group by all",
+    "propagated_support_bigrams": f"with {TAGGED_SQL}, g as (select lang, tag, {_GRAMS.format(n=2)} from tagged) select lang, tag, count(*) as support, count(distinct token) as distinct_tokens from g group by all",
+    "propagated_support_5grams": f"with {TAGGED_SQL}, g as (select lang, tag, {_GRAMS.format(n=5)} from tagged) select lang, tag, count(*) as support, count(distinct token) as distinct_tokens from g group by all",
+    "propagated_tokens_topk": f"with {TAGGED_SQL}, g as (select tag, {_GRAMS.format(n=2)} from tagged), c as (select tag, token, count(*) as n from g group by all) select tag, token, n, row_number() over (partition by tag order by n desc, token) as place from c qualify place <= 10",
+    "ngram_vanished_words": f"with {TAGGED_SQL} select lang, n::int as n, count(*) filter (where length(word) < n) as vanished from tagged, (select unnest([2, 3, 4, 5]) as n) group by all",
     "label_histogram": f"with {TOKENS_SQL}, c as (select lang, tag, count(*) as n, min(token_id) as first_at from toks where tag is not null group by all) select lang, tag, n, first_at, row_number() over (partition by lang order by n desc, first_at) as place from c",
     "sentence_filter_all_outside": f"with {TOKENS_SQL} select token_id, sent_id from toks where sent_id in (select sent_id from toks where tag <> 'O')",
-    "sentence_lines": f"with {_TAGGED} select sent_id, string_agg(word || chr(9) || tag, chr(10) order by pos, word, tag) as block from tagged group by sent_id",
-    "position_ratio": f"with {_TAGGED}, x as (select token_id, row_number() over (partition by sent_id order by pos, token_id) - 1 as idx, count(*) over (partition by sent_id) as length from tagged) select token_id, idx, length, round(idx / length, 2) as ratio from x",
+    "sentence_lines": f"with {TAGGED_SQL} select sent_id, string_agg(word || chr(9) || tag, chr(10) order by pos, word, tag) as block from tagged group by sent_id",
+    "position_ratio": f"with {TAGGED_SQL}, x as (select token_id, row_number() over (partition by sent_id order by pos, token_id) - 1 as idx, count(*) over (partition by sent_id) as length from tagged) select token_id, idx, length, round(idx / length, 2) as ratio from x",
     "language_guard": f"with {TOKENS_SQL} select lang, count(distinct sent_id) as sentences from toks group by lang having count(distinct sent_id) >= 5",
     "fold_sizes": f"with {TOKENS_SQL}, s as (select lang, fold, count(*) as test_tokens, count(distinct sent_id) as test_sentences from toks join folds using (sent_id) group by all) select lang, fold, test_tokens, test_sentences, (sum(test_tokens) over (partition by lang) - test_tokens)::bigint as train_tokens from s",
-    "lowercase_tags": f"with {_TAGGED}, c as (select tag, count(distinct lower(word)) as n_lower from tagged group by tag) select tag, n_lower, row_number() over (order by tag) - 1 as label_id from c",
+    "lowercase_tags": f"with {TAGGED_SQL}, c as (select tag, count(distinct lower(word)) as n_lower from tagged group by tag) select tag, n_lower, row_number() over (order by tag) - 1 as label_id from c",
     "label_union": "select tag from label_set union select tag from ner_tokens where tag is not null",
     "embedding_bucketize": "with e as (select vec_id, unnest(range(15)) as dim, unnest(embedding[1:15]) as x from embeddings) select vec_id, dim, case when x::double > 0.3 then 'high' when x::double < -0.3 then 'low' else 'mid' end as bucket from e",
     "context_similarity": """with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v, row_number() over (partition by label order by vec_id) as i from embeddings),
         p as (select a.vec_id, b.i - a.i as "offset", list_cosine_similarity(a.v, b.v) as s from e a join e b on a.label = b.label and b.i - a.i between -5 and 5 and b.i <> a.i)
         select vec_id, "offset", round(s, 3) as similarity from p where abs(s) > 0.1""",
-    "embedding_lookup_default_zero": f"""with {_TAGGED}, w as (select distinct word from tagged),
+    "embedding_lookup_default_zero": f"""with {TAGGED_SQL}, w as (select distinct word from tagged),
         v as (select word, list_transform(embedding, lambda x: x::double) as v from gazetteer join embeddings on entry_id = vec_id)
         select w.word, 64::bigint as dims, round(coalesce(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 6) as norm from w left join v using (word)""",
     "train_test_split_90_10": f"""with {TOKENS_SQL}, b as (select sent_id, ('0x' || substring(md5('42:' || sent_id), 1, 12))::bigint % 10000 as k from toks)
         select case when k < 9000 then 'train' else 'test' end as split, count(*) as n_tokens, count(distinct sent_id) as sentences from b group by all""",
-    "compat_pairing": f"""with {_TAGGED}, m as (select sent_id, sum(greatest(length(word) - 4, 0)) as n_tokens from tagged group by sent_id),
+    "compat_pairing": f"""with {TAGGED_SQL}, m as (select sent_id, sum(greatest(length(word) - 4, 0)) as n_tokens from tagged group by sent_id),
         h as (select sent_id, n_tokens as n_vectors, row_number() over (order by sent_id) as i from m where n_tokens > 0),
         e as (select sent_id, n_tokens, row_number() over (order by sent_id) as i from m)
         select 'correct' as mode, count(*) as sentences, sum(n_vectors)::bigint as support from h

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -151,11 +152,21 @@ def test_crf_learns_context():
             else:
                 words.append(rnd.choice(["on", "ja", "a", "b"]))
                 own.append("O")
-        sentences.append([crf.features(w) for w in words])
+        sentences.append([{zlib.crc32(w.encode()) % 1000: 1.0, 1001: 1.0} for w in words])
         tags.append(own)
-    model = crf.fit(sentences, tags, rounds=60)
-    right = sum(p == t for s, own in zip(sentences, tags, strict=True) for p, t in zip(model.predict(s), own, strict=True))
-    assert right / sum(map(len, tags)) > 0.85 and len(crf.top_weights(model)) == 10
+    tokens = crf.Tokens.of(sentences, tags)
+    model = crf.fit(tokens, rounds=60)
+    found = model.predict(tokens)
+    assert (np.array(model.labels)[found] == tokens.tags).mean() > 0.85 and len(crf.top_weights(model)) == 10
+    # The best path of each sentence is that of brute force.
+    unary, at = model.scores(tokens), 0
+    for n in tokens.lengths:
+        paths = itertools.product(range(len(model.labels)), repeat=int(n))
+        score = lambda p: sum(unary[at + i, y] for i, y in enumerate(p)) + sum(model.transitions[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert math.isclose(score(tuple(found[at : at + n])), max(map(score, paths)), rel_tol=1e-9)
+        at += n
+    unseen = crf.Tokens.of([[{5000: 1.0}, {}], []])
+    assert len(model.predict(unseen)) == 2
 
 
 def test_shared_tables(spark):
