@@ -16,9 +16,9 @@ def ranked(rows: DataFrame, order: list[Column], into: str, keep: list[str] | No
     """
     held = rows.select(*keep) if keep else rows
     part = F.spark_partition_id()
-    placed = held.orderBy(*order).withColumns({"_part": part, "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = held.orderBy(*order).withColumns({"_rank_part": part, "_rank_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     placed = materialize(placed, "ranked")
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_c"))  # one row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    counts = placed.groupBy("_rank_part").agg(F.count("*").alias("_rank_n"))  # one row for each partition
+    before = Window.orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_rank_part", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_before"))
+    return placed.join(F.broadcast(offsets), "_rank_part").withColumn(into, F.col("_rank_before") + F.col("_rank_at")).drop("_rank_part", "_rank_at", "_rank_before")

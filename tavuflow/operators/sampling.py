@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavuflow.functions import text as T
+from tavuflow.session import bounded
 
 
 def clean_articles(articles: DataFrame, title: str, text: str) -> DataFrame:
@@ -21,14 +22,21 @@ def size_tier(text: Column, top_kb: int = 4) -> Column:
 def tiered_sample(articles: DataFrame, title: str, text: str, order: str, target: int = 10_000, top_kb: int = 4, least_kb: int = 1, group: str | None = None) -> DataFrame:
     """The articles with tier and ordinal: largest tier first, then file order; the first of each title; at most target.
 
-    With group, each group has its own sample; else the ordinal needs one ordering of at most target rows, which Spark takes
-    from each partition's first rows.
+    Only title, tier and place are ranked: the first row of a title is a minimum, taken on the map side too, and the chosen rows
+    then join their texts. With group, each group has its own sample of at most target.
     """
     by = [group] if group else []
     tiered = clean_articles(articles, title, text).withColumn("tier", size_tier(F.col(text), top_kb)).filter(F.col("tier") >= least_kb)
-    rank = [F.col("tier").desc(), F.col(order)]
-    first = tiered.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, title).orderBy(*rank))).filter("_rn = 1").drop("_rn")
+    first = tiered.groupBy(*by, F.col(title).alias("_title")).agg(F.min(F.struct((-F.col("tier")).alias("t"), F.col(order).alias("o"))).alias("_m"))
+    rank = ["_m", "_title"]
     if group:
-        return first.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(*rank))).filter(F.col("ordinal") <= target)
-    top = first.orderBy(*rank).limit(target)
-    return top.withColumn("ordinal", F.row_number().over(Window.orderBy(*rank)))
+        chosen = first.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(*rank))).filter(F.col("ordinal") <= target)
+    else:
+        top = first.orderBy(*rank).limit(target)  # a sampling operator's limit
+        chosen = top.withColumn("ordinal", F.row_number().over(Window.orderBy(*rank)))
+    chosen = chosen.select(*[F.col(c).alias(f"_{c}_") for c in by], "_title", "_m", "ordinal")
+    same = (F.col(title) == F.col("_title")) & (F.col("tier") == -F.col("_m.t")) & F.col(order).eqNullSafe(F.col("_m.o"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    joined = tiered.join(bounded(chosen), same).select(*tiered.columns, "ordinal")
+    return joined.dropDuplicates(["ordinal", *by])  # rows of the same title, tier and place

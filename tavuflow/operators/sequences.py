@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavuflow.functions import vectors as V
+from tavuflow.operators.ranks import ranked
 
 
 def latest(rows: DataFrame, key: str, loaded: str) -> DataFrame:
@@ -15,12 +16,34 @@ def latest(rows: DataFrame, key: str, loaded: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
-def sentence_ids(lines: DataFrame, part: str, order: str, blank: str) -> DataFrame:
-    """lines that are not blank, with sent_id (from 1 in each part) and pos: a blank line ends a sentence, nothing else does."""
-    at = Window.partitionBy(part).orderBy(order)
-    numbered = lines.withColumn("_run", F.sum(F.col(blank).cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col(blank))
-    out = numbered.withColumn("sent_id", F.dense_rank().over(Window.partitionBy(part).orderBy("_run")))
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy(part, "_run").orderBy(order)) - 1).drop("_run")
+#: Lines that are numbered by one window; a longer part (a file, say) is numbered block by block.
+LINES_PER_BLOCK = 100_000
+
+
+def sentence_ids(lines: DataFrame, part: str, order: str, blank: str, block: int | None = None) -> DataFrame:
+    """lines that are not blank, with sent_id (from 1 in each part) and pos: a blank line ends a sentence, nothing else does.
+
+    order is a whole number, the line's place in its part. Lines are numbered within blocks of that number; what a block needs of
+    those before it (sentences so far, tokens of a sentence that goes on) follows from one row for each block, so that a part
+    with a third of all lines is no task's burden.
+    """
+    lines = lines.withColumn("_b", F.floor(F.col(order) / (block or LINES_PER_BLOCK)))
+    at = Window.partitionBy(part, "_b").orderBy(order)
+    running = at.rowsBetween(Window.unboundedPreceding, 0)
+    is_blank = F.coalesce(F.col(blank), F.lit(False))
+    rows = lines.withColumns({"_rn": F.row_number().over(at), "_prev": F.lag(is_blank).over(at)})
+    rows = rows.withColumns({"_last": F.max(F.when(is_blank, F.col("_rn"))).over(running), "_starts": F.sum(F.coalesce(~is_blank & F.col("_prev"), F.lit(False)).cast("long")).over(running)})
+    ends = rows.groupBy(F.col(part).alias("_p"), F.col("_b").alias("_c")).agg(
+        F.count("*").alias("n"), F.max("_last").alias("last"), F.max("_starts").alias("starts"), F.bool_or(F.col("_prev").isNull() & ~is_blank).alias("open")
+    )
+    before = Window.partitionBy("_p").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = ends.withColumn("carried", F.col("sum") - F.coalesce(F.max(F.col("sum") + F.col("last")).over(before), F.lit(0)))
+    ends = ends.withColumn("first", (F.col("open") & (F.col("carried") == 0)).cast("long"))
+    ends = ends.select("_p", "_c", "carried", (F.coalesce(F.sum(F.col("starts") + F.col("first")).over(before), F.lit(0)) + F.col("first")).alias("before"))
+    out = rows.join(ends, F.col(part).eqNullSafe(F.col("_p")) & (F.col("_b") == F.col("_c"))).filter(~is_blank)
+    pos = F.col("_rn") - F.coalesce("_last", F.lit(0)) - 1 + F.when(F.col("_last").isNull(), F.col("carried")).otherwise(0)
+    return out.withColumns({"sent_id": F.col("before") + F.col("_starts"), "pos": pos.cast("int")}).select(*[c for c in lines.columns if c != "_b"], "sent_id", "pos")
 
 
 def with_entities(tokens: DataFrame, sent: str, tag: str, outside: str = "O") -> DataFrame:
@@ -99,6 +122,24 @@ def split_by_hash(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42)
     return rows.withColumn("split", F.when(_bucket(key, seed, 10_000) < int(share * 10_000), "train").otherwise("test"))
 
 
+def _shuffled(keys: DataFrame, key: str, seed: int) -> DataFrame:
+    """The distinct keys with _at, their place in an order by digest that other engines can compute too."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    return ranked(keys.select(key).distinct().withColumn("_d", digest), [F.col("_d"), F.col(key)], "_at").drop("_d")
+
+
+def split_exactly(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """rows with split: train for the first whole number of share times the keys in shuffled order, else test."""
+    placed = _shuffled(rows, key, seed)
+    most = int(placed.count() * share)
+    return rows.join(placed.select(key, F.when(F.col("_at") < most, "train").otherwise("test").alias("split")), key)
+
+
+def equal_folds(rows: DataFrame, key: str, folds: int = 3, seed: int = 42) -> DataFrame:
+    """key and fold: the distinct keys in shuffled order, dealt to folds whose sizes differ by one at most."""
+    return _shuffled(rows, key, seed).select(key, (F.col("_at") % folds).cast("int").alias("fold"))
+
+
 def fold_by_hash(rows: DataFrame, key: str, folds: int = 3, seed: int = 42) -> DataFrame:
     return rows.withColumn("fold", _bucket(key, seed, folds).cast("int"))
 
@@ -128,6 +169,6 @@ def paired(tokens: DataFrame, embedded: DataFrame, sent: str, mode: str = "corre
     every = tokens.select(sent).distinct()
     if mode == "correct":
         return every.join(have, sent).select(sent, F.col(sent).alias("embedded_sent"))
-    a = every.withColumn("_i", F.row_number().over(Window.orderBy(sent)))
-    b = have.withColumn("_i", F.row_number().over(Window.orderBy(sent))).withColumnRenamed(sent, "embedded_sent")
+    a = ranked(every, [F.col(sent)], "_i")
+    b = ranked(have, [F.col(sent)], "_i").withColumnRenamed(sent, "embedded_sent")
     return a.join(b, "_i").select(sent, "embedded_sent")

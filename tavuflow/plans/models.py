@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavuflow.functions import text as T
 from tavuflow.functions import vectors as V
 from tavuflow.operators import bpe, crf, embed, tagger
 from tavuflow.operators import metrics as M
 from tavuflow.operators import sequences as S
 from tavuflow.plans.labels import TAGGED_SQL as _TAGGED
 from tavuflow.plans.labels import tagged
-from tavuflow.session import bounded, materialize, spread, table
+from tavuflow.plans.tokens import SQL_SPACE
+from tavuflow.session import bounded, materialize, shared_dir, spread, table
 
 #: The public vocabulary whose merges the BPE queries use.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Sub-words of the articles' words and their number."""
+    """Sub-words of the articles' words and their number. Distinct words are encoded, weighted by their counts."""
     merges, _ = bpe.read_vocabulary_file(spark, VOCABULARY)
-    encode = bpe.encoder(spark, merges, lower=True)
-    lines = spread(table(spark, d, "articles").select("Cleaned_Text")).select(F.explode(F.split("Cleaned_Text", "\n")).alias("line"))
-    return lines.select(F.explode(encode(F.col("line"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    made = bpe.encode_words(article_words(spark, d), "word", bpe.merger(spark, merges))
+    return made.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def article_words(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct lower-cased words of the articles and their counts: all that byte-pair training or encoding needs to see."""
+    text = spread(table(spark, d, "articles").select("Cleaned_Text"))
+    return text.select(F.explode(T.words(F.lower("Cleaned_Text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def bpe_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return article_words(spark, d)
+
+
+def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.pair_counts(article_words(spark, d), "word", "n")
 
 
 def bpe_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -34,9 +51,11 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def word2vec_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the labelled sentences with their trained vectors' size and whether their norm is sound."""
+    """Words of the labelled sentences with their vectors' size and whether their norm is sound, from a model that was saved."""
     sound = lambda n: (n > 0) & ~F.isnan(n) & (n < 1e6)
-    return embed.vectors(embed.train_word2vec(_lines(tagged(spark, d)), "tokens")).select("token", F.size("vector").cast("long").alias("dims"), sound(V.norm(F.col("vector"))).alias("sound"))
+    path = f"{shared_dir(spark)}/tavuflow/model-{uuid.uuid4().hex}"
+    embed.save_model(embed.train_word2vec(_lines(tagged(spark, d)), "tokens"), path)
+    return embed.vectors(embed.load_model(path)).select("token", F.size("vector").cast("long").alias("dims"), sound(V.norm(F.col("vector"))).alias("sound"))
 
 
 def _with_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -118,9 +137,14 @@ _BORROWED = f"""with {_TAGGED}, w as (
 
 QUERIES = {
     f.__name__: f
-    for f in (bpe_tokens, bpe_vocabulary, word2vec_vectors, crf_features, lr_tagger_eval, crf_tagger_eval, sgd_tagger_eval, sgd_training_runs, crf_top_weights)
+    for f in (bpe_tokens, bpe_corpus, bpe_pair_counts, bpe_vocabulary, word2vec_vectors, crf_features, lr_tagger_eval, crf_tagger_eval, sgd_tagger_eval, sgd_training_runs, crf_top_weights)
 }
+_WORDS = f"""with w as (select unnest(list_filter(regexp_split_to_array(lower(replace(Cleaned_Text, 'İ', 'i̇')), '{SQL_SPACE}'), lambda x: x <> '')) as word from articles where Cleaned_Text is not null),
+  c as (select word, count(*) as n from w group by word)"""
 SQL = {
+    "bpe_corpus": f"{_WORDS} select word, n from c",
+    "bpe_pair_counts": f"""{_WORDS}, p as (select unnest(list_transform(range(1, length(word)), lambda i: struct_pack(l := substring(word, i::int, 1), r := substring(word, i::int + 1, 1)))) as p, n from c)
+        select p.l as "left", p.r as "right", sum(n)::bigint as n from p group by all""",
     "bpe_vocabulary": f"select v.value::int as id, v.key as token from (select unnest(map_entries(from_json(json_extract(content, '$.model.vocab'), '\"MAP(VARCHAR, INTEGER)\"'))) as v from read_text('{VOCABULARY}'))",
     "word2vec_vectors": f"with {_TAGGED} select distinct word as token, 100::bigint as dims, true as sound from tagged",
     "crf_features": f"""{_BORROWED} select e.token_id, lw as lower_word, round(i / n, 2) as position_ratio,

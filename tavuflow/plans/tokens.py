@@ -15,12 +15,12 @@ from tavuflow.session import spread, table
 
 _TEXT = "Cleaned_Text"
 # DuckDB's spelling of the white space class.
-_SQL_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+SQL_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _LINES = "lines_ as (select article_id, unnest(str_split(Cleaned_Text, chr(10))) as line from articles)"
 
 
 def _strip(column: str) -> str:
-    return f"regexp_replace({column}, '^{_SQL_SPACE}|{_SQL_SPACE}$', '', 'g')"
+    return f"regexp_replace({column}, '^{SQL_SPACE}|{SQL_SPACE}$', '', 'g')"
 
 
 
@@ -93,7 +93,7 @@ def _ngram_sql(n: int) -> str:
 
 
 _CLEAN = f"clean as (select article_id, pos, source, {_strip('Title')} as t, {_strip('Cleaned_Text')} as x from articles)"
-_SLUG = f"regexp_replace(substring(array_to_string(list_filter(regexp_split_to_array(Title, '{_SQL_SPACE}'), lambda w: w <> ''), '_'), 1, 50), '[<>:\"/\\\\|?*]', '_', 'g')"
+_SLUG = f"regexp_replace(substring(array_to_string(list_filter(regexp_split_to_array(Title, '{SQL_SPACE}'), lambda w: w <> ''), '_'), 1, 50), '[<>:\"/\\\\|?*]', '_', 'g')"
 _TIERED = "with " + _CLEAN.replace("{", "{{").replace("}", "}}") + """, tiers as (select *, least(4, floor(strlen(x) / 1024))::int as tier from clean where t <> '' and x <> ''),
   firsts as (select * from tiers where tier >= 1 qualify row_number() over (partition by {by} t order by tier desc, pos) = 1)"""
 _NGRAMS = {"char_token_counts": ("Char", 1), "bigram_counts": ("Bigrams", 2), "trigram_counts": ("Trigrams", 3), "fourgram_counts": ("4grams", 4), "fivegram_counts": ("5grams", 5)}
@@ -113,13 +113,13 @@ QUERIES = {
     "word_frequency_by_language": word_frequency_by_language,
 }
 SQL = {
-    "word_token_counts": f"with {_LINES}, w as (select unnest(list_filter(regexp_split_to_array(line, '{_SQL_SPACE}'), lambda x: x <> '')) as token from lines_) select token, count(*) as n from w group by token",
+    "word_token_counts": f"with {_LINES}, w as (select unnest(list_filter(regexp_split_to_array(line, '{SQL_SPACE}'), lambda x: x <> '')) as token from lines_) select token, count(*) as n from w group by token",
     **{name: _ngram_sql(n) for name, (_, n) in _NGRAMS.items()},
     "line_lengths": f"""with l as (select article_id, str_split(Cleaned_Text, chr(10)) as ls from articles where Cleaned_Text is not null),
         e as (select article_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from l)
-        select article_id, line_no, len(list_filter(regexp_split_to_array(line, '{_SQL_SPACE}'), lambda x: x <> ''))::bigint as n_words, length(line)::bigint as n_chars from e""",
+        select article_id, line_no, len(list_filter(regexp_split_to_array(line, '{SQL_SPACE}'), lambda x: x <> ''))::bigint as n_words, length(line)::bigint as n_chars from e""",
     "retokenized": f"""select strategy, count(*) as n, count(*) filter (where tokens = case strategy
-          when 'Word' then list_filter(regexp_split_to_array(text, '{_SQL_SPACE}'), lambda x: x <> '')
+          when 'Word' then list_filter(regexp_split_to_array(text, '{SQL_SPACE}'), lambda x: x <> '')
           when 'Bigrams' then list_transform(range(1, length(text)), lambda i: substring(text, i::int, 2))
           else list_transform(range(1, length(text) + 1), lambda i: substring(text, i::int, 1)) end) as same
         from tokenized where tokens is not null group by strategy""",
@@ -132,7 +132,7 @@ SQL = {
     "experiment_grid": """select * from (values ('Finnish','fi'),('Swahili','sw'),('Hungarian','hu'),('Turkish','tr')) l(lang, code),
         (values ('Word',0,null),('Char',1,null),('Bigrams',2,null),('Trigrams',3,null),('4grams',4,null),('5grams',5,null),
                 ('BPE5k',null,5000),('BPE10k',null,10000),('BPE25k',null,25000),('BPE50k',null,50000),('BPE100k',null,100000)) s(strategy, n, vocab)""",
-    "word_frequency_by_language": f"""with w as (select lang, unnest(list_filter(regexp_split_to_array(line, '{_SQL_SPACE}'), lambda x: x <> '')) as token
+    "word_frequency_by_language": f"""with w as (select lang, unnest(list_filter(regexp_split_to_array(line, '{SQL_SPACE}'), lambda x: x <> '')) as token
           from (select lang, unnest(str_split(Cleaned_Text, chr(10))) as line from articles where lang is not null)),
         c as (select lang, token, count(*) as n from w group by all)
         select lang, token, n, row_number() over (partition by lang order by n desc, token) as place from c qualify place <= 10""",

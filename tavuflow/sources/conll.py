@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tavuflow.functions.text import strip, words
 from tavuflow.operators.sequences import sentence_ids, sentence_lines
+from tavuflow.session import bounded
 
 
 @dataclass(frozen=True)
@@ -33,12 +34,17 @@ TABULAR = Rules(exact=None, least=2, sep="\t", skip_lines=("<HEADLINE>", "<BODY>
 
 
 def file_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """src_file, line_no and line. A file is read as one value, as the order of lines within it matters; files are the unit."""
-    reader = spark.read.option("wholetext", True)
+    """src_file, line_no and line. Files are split among tasks: a line's number is its place in its split and the lines of the
+    splits before it, of which there is one row each."""
+    reader = spark.read.option("lineSep", "\n")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(path.split(",") if "," in path else path).select(F.col("_metadata.file_path").alias("src_file"), "value")
-    return rows.select("src_file", F.posexplode(F.split(F.regexp_replace("value", "\\n\\z", ""), "\\r?\\n")).alias("line_no", "line"))
+    rows = reader.text(path.split(",") if "," in path else path)
+    rows = rows.select(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\\r\\z", "").alias("line"))
+    splits = rows.groupBy("src_file", "_from").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("src_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("src_file", "_from", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(bounded(splits), ["src_file", "_from"]).select("src_file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def parse_lines(lines: DataFrame, rules: Rules = TAGGER, line: str = "line", part: str = "src_file", order: str = "line_no") -> DataFrame:
@@ -81,22 +87,27 @@ def write_conll(tokens: DataFrame, path: str, trailing_blank: bool = True, mode:
     if trailing_blank:
         blocks(tokens).select(body.alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
         return
-    ordered = blocks(tokens).withColumn("_last", F.max("sent_id").over(_all()))
-    ordered.select(F.when(F.col("sent_id") == F.col("_last"), F.col("block")).otherwise(F.concat("block", F.lit("\n"))).alias("value")).write.mode(mode).text(path)
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    last = tokens.agg(F.max("sent_id")).first()[0]
+    line = F.when(F.col("sent_id") == F.lit(last), F.col("block")).otherwise(F.concat("block", F.lit("\n")))
+    blocks(tokens).select(line.alias("value")).write.mode(mode).text(path)
 
 
 def overwrite(spark: SparkSession, df: DataFrame, path: str, write) -> None:
-    """Replace a path that df itself is read from: write beside it, then rename."""
-    staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Replace a path that df itself is read from: write beside it, move the old one aside, the new one in, then delete the old.
+
+    A failed move is an error, and the old one is moved back: at no time is there less than one whole copy.
+    """
+    staging, aside = (f"{path.rstrip('/')}.{uuid.uuid4().hex}" for _ in range(2))
     write(df, staging)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, aside))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(new, target)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved; the new data are in {staging}")
+    if not fs.rename(new, target):
+        if had and not fs.rename(old, target):
+            raise OSError(f"{path} is now {aside}, the new data are in {staging}")
+        raise OSError(f"{staging} cannot be moved to {path}")
+    if had:
+        fs.delete(old, True)

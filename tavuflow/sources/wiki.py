@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,31 +28,31 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("pages"), F.count("_corrupt_record").alias("skipped"), F.count("title").alias("titled"))
 
 
-def _balanced(text: str, opening: str, closing: str) -> str:
-    """text without the outermost opening..closing stretches; an opening never closed is kept as text."""
-    out, depth, begin, i = [], 0, 0, 0
-    while i < len(text):
-        if text.startswith(opening, i):
+def _balanced(text: str, marks: re.Pattern) -> str:
+    """text without the outermost stretches from an opening mark to its closing one; an opening never closed is kept as text.
+    Only the marks are looked at."""
+    out, depth, begin = [], 0, 0
+    for m in marks.finditer(text):
+        if m[1]:  # opening
             if depth == 0:
-                out.append(text[begin:i])
-                begin = i
+                out.append(text[begin : m.start()])
+                begin = m.start()
             depth += 1
-            i += len(opening)
-        elif depth and text.startswith(closing, i):
+        elif depth:
             depth -= 1
-            i += len(closing)
             if depth == 0:
-                begin = i
-        else:
-            i += 1
+                begin = m.end()
     out.append(text[begin:])
     return "".join(out)
 
 
+_TEMPLATE, _TABLE = re.compile(r"(\{\{)|\}\}"), re.compile(r"(\{\|)|\|\}")
+
+
 @F.pandas_udf(T.StringType())
 def _drop_nested(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
-        yield texts.map(lambda t: None if t is None else _balanced(_balanced(t, "{{", "}}"), "{|", "|}"))
+        yield texts.map(lambda t: None if t is None else _balanced(_balanced(t, _TEMPLATE), _TABLE))
 
 
 def clean_wikitext(text: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tavuflow.operators import analytics as A
@@ -41,6 +42,34 @@ def test_latest_and_sentence_ids(spark):
     assert got == [("a", 1, 0), ("b", 2, 0), ("c", 2, 1)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_sentence_ids_over_blocks(spark, block):
+    rnd = random.Random(block)
+    rows, expected = [], {}
+    for part in ("f", None, "g"):
+        sent, pos, open_ = 0, 0, False
+        for n in range(90):
+            blank = rnd.random() < (0.05 if n < 40 else 0.5)
+            rows.append((part, n, blank))
+            if blank:
+                open_ = False
+                continue
+            sent, pos = (sent, pos + 1) if open_ else (sent + 1, 0)
+            open_ = True
+            expected[part, n] = (sent, pos)
+    lines = spark.createDataFrame(rows, "p string, n int, blank boolean").repartition(3)
+    assert {(r["p"], r["n"]): (r["sent_id"], r["pos"]) for r in S.sentence_ids(lines, "p", "n", "blank", block).collect()} == expected
+    assert S.sentence_ids(lines.limit(0), "p", "n", "blank", block).count() == 0
+
+
+def test_exact_splits(spark):
+    rows = spark.createDataFrame([(i % 37,) for i in range(100)], "sent_id long").repartition(5)
+    split = S.split_exactly(rows, "sent_id").distinct().groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"train": 33, "test": 4} and S.split_exactly(rows, "sent_id").count() == 100
+    assert sorted(r["count"] for r in S.equal_folds(rows, "sent_id").groupBy("fold").count().collect()) == [12, 12, 13]
+    assert S.equal_folds(rows.limit(0), "sent_id").count() == 0
+
+
 def brute_report(pairs):
     out = {}
     for label in {t for t, _ in pairs}:
@@ -99,10 +128,38 @@ def test_pairing_modes(spark):
         S.paired(words, have, "sent_id", "other")
 
 
-def test_merge_word():
-    ranks = {("l", "o"): 0, ("lo", "w</w>"): 1, ("e", "r</w>"): 2}
-    assert bpe.merge_word(["l", "o", "w</w>"], ranks) == ["low</w>"]
-    assert bpe.merge_word(["l", "o", "l", "o", "e", "r</w>"], ranks) == ["lo", "lo", "er</w>"]
+def merged(words, ranks):
+    """Brute force: the pair of least rank at all places from the left, until none is left."""
+    out = []
+    for word in words:
+        symbols = [*word[:-1], word[-1] + "</w>"] if word else []
+        while True:
+            pairs = [ranks[p] for p in zip(symbols, symbols[1:], strict=False) if p in ranks]
+            if not pairs:
+                break
+            i, new = 0, []
+            while i < len(symbols):
+                two = tuple(symbols[i : i + 2])
+                hit = len(two) == 2 and ranks.get(two) == min(pairs)
+                new.append("".join(two) if hit else symbols[i])
+                i += 2 if hit else 1
+            symbols = new
+        out.append(symbols)
+    return out
+
+
+def test_merges_of_brute_force():
+    rnd = random.Random(5)
+    ranks, known = {}, ["a", "b", "c", "a</w>", "b</w>", "c</w>"]
+    while len(ranks) < 60:
+        pair = (rnd.choice([x for x in known if not x.endswith("</w>")]), rnd.choice(known))
+        if pair not in ranks:
+            ranks[pair] = len(ranks)
+            known.append("".join(pair))
+    words = ["".join(rnd.choice("aaabbcd") for _ in range(rnd.randrange(0, 30))) for _ in range(300)] + ["a" * 1001, "", "d"]
+    made = bpe.Merger([(r, a, b) for (a, b), r in ranks.items()], "</w>", "").encode(pa.array(words))
+    assert made.to_pylist() == merged(words, ranks)
+    assert bpe.Merger([], "", "_").encode(pa.array(["ab"])).to_pylist() == [["_a", "b"]]
 
 
 def test_bpe_is_the_library(spark):
