@@ -50,7 +50,7 @@ def cross_validate(tokens: DataFrame, rounds: int = 500) -> DataFrame:
     ready = materialize(ids.transform(prepared(tokens)).select(*tokens.columns, "label", "features"), "features")
     folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())  # a few numbers
     with ThreadPoolExecutor(max(len(folds), 1)) as pool:
-        models = list(pool.map(inheritable_thread_target(lambda fold: fit_logistic(ready.filter(F.col("fold") != fold), rounds)), folds))
+        models = list(pool.map(inheritable_thread_target(tokens.sparkSession)(lambda fold: fit_logistic(ready.filter(F.col("fold") != fold), rounds)), folds))
     out = None
     for fold, model in zip(folds, models, strict=True):
         part = model.transform(ready.filter(F.col("fold") == fold)).withColumn("pred", names[F.col("prediction").cast("int")])

@@ -49,7 +49,7 @@ def fold_merged_report(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.merge_folds(M.report(predictions(spark, d), "tag", "pred", ["lang", "fold"]), ["lang"]))
 
 
-_PRED = f"""with {TOKENS_SQL}, p as (
+PREDICTED_SQL = f"""with {TOKENS_SQL}, p as (
   select t.*, f.fold, coalesce('B-' || g.label, 'O') as pred from toks t left join gazetteer g using (word) join folds f using (sent_id)
   where t.word is not null and t.tag is not null),"""
 
@@ -66,15 +66,15 @@ def _report_sql(by: str) -> str:
 QUERIES = {f.__name__: f for f in (confusion_matrix, classification_report, macro_weighted_avg, accuracy_by_fold, sentence_accuracy_by_fold, mean_accuracy, fold_merged_report)}
 _ROUND = "round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1"
 SQL = {
-    "confusion_matrix": f"{_PRED} z as (select 1) select lang, tag as true_label, pred as pred_label, count(*) as n from p group by all",
-    "classification_report": f"{_PRED} {_report_sql('lang')} select lang, label, support, {_ROUND} from rep",
-    "macro_weighted_avg": f"{_PRED} {_report_sql('lang')} select lang, sum(support)::bigint as support, "
+    "confusion_matrix": f"{PREDICTED_SQL} z as (select 1) select lang, tag as true_label, pred as pred_label, count(*) as n from p group by all",
+    "classification_report": f"{PREDICTED_SQL} {_report_sql('lang')} select lang, label, support, {_ROUND} from rep",
+    "macro_weighted_avg": f"{PREDICTED_SQL} {_report_sql('lang')} select lang, sum(support)::bigint as support, "
     + ", ".join(f"round(avg({c}), 6) as macro_{c}, round(sum({c} * support) / sum(support), 6) as weighted_{c}" for c in ("precision", "recall", "f1"))
     + " from rep group by lang",
-    "accuracy_by_fold": f"{_PRED} z as (select 1) select lang, fold, round(avg((tag = pred)::int), 6) as accuracy, count(*) as n from p group by all",
-    "sentence_accuracy_by_fold": f"{_PRED} s as (select lang, fold, sent_id, bool_and(tag = pred) as ok from p group by all) select lang, fold, round(avg(ok::int), 6) as sentence_accuracy, count(*) as sentences from s group by all",
-    "mean_accuracy": f"{_PRED} a as (select lang, fold, avg((tag = pred)::int) as accuracy from p group by all) select lang, round(avg(accuracy), 6) as accuracy from a group by lang",
-    "fold_merged_report": f"{_PRED} {_report_sql('lang, fold')} select lang, label, sum(support)::bigint as support, "
+    "accuracy_by_fold": f"{PREDICTED_SQL} z as (select 1) select lang, fold, round(avg((tag = pred)::int), 6) as accuracy, count(*) as n from p group by all",
+    "sentence_accuracy_by_fold": f"{PREDICTED_SQL} s as (select lang, fold, sent_id, bool_and(tag = pred) as ok from p group by all) select lang, fold, round(avg(ok::int), 6) as sentence_accuracy, count(*) as sentences from s group by all",
+    "mean_accuracy": f"{PREDICTED_SQL} a as (select lang, fold, avg((tag = pred)::int) as accuracy from p group by all) select lang, round(avg(accuracy), 6) as accuracy from a group by lang",
+    "fold_merged_report": f"{PREDICTED_SQL} {_report_sql('lang, fold')} select lang, label, sum(support)::bigint as support, "
     + ", ".join(f"round(sum({c} * support) / sum(support), 6) as {c}" for c in ("precision", "recall", "f1"))
     + " from rep group by all",
 }

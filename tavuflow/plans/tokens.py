@@ -92,9 +92,9 @@ def _ngram_sql(n: int) -> str:
     return f"with {_LINES}, g as (select unnest(list_transform(range(1, length(line) - {n} + 2), lambda i: substring(line, i::int, {n}))) as token from lines_) select token, count(*) as n from g group by token"
 
 
-_CLEAN = f"clean as (select article_id, pos, source, {_strip('Title')} as t, {_strip('Cleaned_Text')} as x from articles)"
+CLEAN_SQL = f"clean as (select article_id, pos, source, {_strip('Title')} as t, {_strip('Cleaned_Text')} as x from articles)"
 _SLUG = f"regexp_replace(substring(array_to_string(list_filter(regexp_split_to_array(Title, '{SQL_SPACE}'), lambda w: w <> ''), '_'), 1, 50), '[<>:\"/\\\\|?*]', '_', 'g')"
-_TIERED = "with " + _CLEAN.replace("{", "{{").replace("}", "}}") + """, tiers as (select *, least(4, floor(strlen(x) / 1024))::int as tier from clean where t <> '' and x <> ''),
+_TIERED = "with " + CLEAN_SQL.replace("{", "{{").replace("}", "}}") + """, tiers as (select *, least(4, floor(strlen(x) / 1024))::int as tier from clean where t <> '' and x <> ''),
   firsts as (select * from tiers where tier >= 1 qualify row_number() over (partition by {by} t order by tier desc, pos) = 1)"""
 _NGRAMS = {"char_token_counts": ("Char", 1), "bigram_counts": ("Bigrams", 2), "trigram_counts": ("Trigrams", 3), "fourgram_counts": ("4grams", 4), "fivegram_counts": ("5grams", 5)}
 
@@ -125,10 +125,10 @@ SQL = {
         from tokenized where tokens is not null group by strategy""",
     "tiered_sample": _TIERED.format(by="") + " select article_id, t as Title, tier, row_number() over (order by tier desc, pos) as ordinal from firsts qualify ordinal <= 10000",
     "tiered_sample_by_source": _TIERED.format(by="source,") + " select source, article_id, tier, row_number() over (partition by source order by tier desc, pos) as ordinal from firsts qualify ordinal <= 50",
-    "size_filter": f"with {_CLEAN} select article_id, strlen(x)::bigint as bytes from clean where t <> '' and x <> '' and strlen(x) >= 1024",
+    "size_filter": f"with {CLEAN_SQL} select article_id, strlen(x)::bigint as bytes from clean where t <> '' and x <> '' and strlen(x) >= 1024",
     "title_slug": f"select article_id, {_SLUG} as slug, format('article_{{}}_{{}}.txt', article_id, {_SLUG}) as file_name from articles where Title is not null",
-    "article_body": f"with {_CLEAN} select article_id, md5('Title: ' || t || chr(10) || x || chr(10)) as body_md5, length('Title: ' || t || chr(10) || x || chr(10))::bigint as n_chars from clean where t <> '' and x <> ''",
-    "article_counters": f"with {_CLEAN} select source, count(*) as pages, count(*) filter (where t <> '' and x <> '') as valid, count(distinct case when t <> '' and x <> '' then t end) as titles from clean group by source",
+    "article_body": f"with {CLEAN_SQL} select article_id, md5('Title: ' || t || chr(10) || x || chr(10)) as body_md5, length('Title: ' || t || chr(10) || x || chr(10))::bigint as n_chars from clean where t <> '' and x <> ''",
+    "article_counters": f"with {CLEAN_SQL} select source, count(*) as pages, count(*) filter (where t <> '' and x <> '') as valid, count(distinct case when t <> '' and x <> '' then t end) as titles from clean group by source",
     "experiment_grid": """select * from (values ('Finnish','fi'),('Swahili','sw'),('Hungarian','hu'),('Turkish','tr')) l(lang, code),
         (values ('Word',0,null),('Char',1,null),('Bigrams',2,null),('Trigrams',3,null),('4grams',4,null),('5grams',5,null),
                 ('BPE5k',null,5000),('BPE10k',null,10000),('BPE25k',null,25000),('BPE50k',null,50000),('BPE100k',null,100000)) s(strategy, n, vocab)""",

@@ -56,6 +56,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(spark: SparkSession, name: str, key: dict[str, str], build) -> DataFrame:
+    """The table kept under name and key in the shared folder; build() makes it where there is none. It is never renewed: the key
+    must tell all that the table depends on."""
+    path = "/".join([shared_dir(spark), "tavuflow", "kept", name, *(f"{k}={v}" for k, v in sorted(key.items()))])
+    if not hadoop_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its files give work to less than half of them; an input of many splits is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

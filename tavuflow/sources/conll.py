@@ -102,11 +102,18 @@ def overwrite(spark: SparkSession, df: DataFrame, path: str, write) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, aside))
     fs = target.getFileSystem(conf)
+
+    def moved(a, b) -> bool:
+        try:
+            return fs.rename(a, b)
+        except Exception:  # noqa: BLE001 - file systems tell a failed move in either way
+            return False
+
     had = fs.exists(target)
-    if had and not fs.rename(target, old):
+    if had and not moved(target, old):
         raise OSError(f"{path} cannot be moved; the new data are in {staging}")
-    if not fs.rename(new, target):
-        if had and not fs.rename(old, target):
+    if not moved(new, target):
+        if had and not moved(old, target):
             raise OSError(f"{path} is now {aside}, the new data are in {staging}")
         raise OSError(f"{staging} cannot be moved to {path}")
     if had:

@@ -31,10 +31,10 @@ def write_articles(articles: DataFrame, path: str, mode: str = "error") -> None:
     articles.write.mode(mode).json(path)
 
 
-def write_sample(sample: DataFrame, path: str, lang: str, title: str = "Title", text: str = "Cleaned_Text", mode: str = "error") -> None:
-    """The sampled articles as a table by language: ordinal, file name and body, not one file for each."""
-    rows = sample.select(F.lit(lang).alias("lang"), "ordinal", T.article_name(F.col("ordinal"), F.col(title)).alias("file_name"), T.article_body(F.col(title), F.col(text)).alias("body"))
-    rows.write.mode(mode).partitionBy("lang").parquet(path)
+def write_sample(sample: DataFrame, path: str, by: str = "source", title: str = "Title", text: str = "Cleaned_Text", mode: str = "error") -> None:
+    """The sampled articles as a table by source (or language): ordinal, file name and body, not one file for each."""
+    rows = sample.select(by, "ordinal", T.article_name(F.col("ordinal"), F.col(title)).alias("file_name"), T.article_body(F.col(title), F.col(text)).alias("body"))
+    rows.write.mode(mode).partitionBy(by).parquet(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +43,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return (reader if any(c in path for c in "*?") else reader.option("pathGlobFilter", "article_*.txt")).text(path).select(F.col("value").alias("text"))
 
 
-def sample_lines(sample: DataFrame) -> DataFrame:
+def sample_lines(sample: DataFrame, by: list[str]) -> DataFrame:
     """Lines of a written sample's bodies."""
-    return sample.select("lang", "ordinal", F.posexplode(F.split("body", "\n")).alias("line_no", "text"))
+    return sample.select(*by, "ordinal", "file_name", F.posexplode(F.split("body", "\n")).alias("line_no", "text"))
 
 
 def write_tokenized(tokens: DataFrame, path: str, mode: str = "error") -> None:

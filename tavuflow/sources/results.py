@@ -57,6 +57,32 @@ def result_json(report: DataFrame, by: list[str]) -> DataFrame:
     return report.groupBy(*by).agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("classification_report"))).alias("json"))
 
 
+def write_results(reports_: DataFrame, path: str) -> None:
+    """A result file for each language, strategy, run and task, in the folders of the file form. Runs are few: their files are
+    written one by one from the driver, on any file system."""
+    spark = reports_.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in result_json(reports_, ["lang", "strategy", "run", "task"]).toLocalIterator():
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{r['lang']} Run {r['run']}/{r['lang']} Evaluation/{r['lang']}_{r['strategy']}_{r['task']}_results.json")
+        out = target.getFileSystem(conf).create(target, True)
+        out.write(bytearray(r["json"].encode()))
+        out.close()
+
+
+def write_delta_tables(deltas: DataFrame, path: str, mode: str = "error") -> None:
+    """Entity and changes with a header, in folders by language, strategy and run."""
+    rows = deltas.select(
+        F.col("label").alias("Entity"), F.col("precision_change").alias("Precision Change"), F.col("recall_change").alias("Recall Change"), F.col("f1_change").alias("F1 Change"),
+        F.col("lang").alias("Language"), F.col("strategy").alias("Strategy"), F.col("run").alias("Run"),
+    )
+    rows.write.mode(mode).partitionBy("Language", "Strategy", "Run").option("header", True).csv(path)
+
+
+def read_delta_tables(spark: SparkSession, path: str) -> DataFrame:
+    """All delta tables below path, or those of one language, strategy or run by a filter: other folders are not read."""
+    return spark.read.schema(DELTA_SCHEMA + ", Language string, Strategy string, Run int").option("header", True).csv(path)
+
+
 def write_deltas(deltas: DataFrame, path: str, mode: str = "error") -> None:
     """Entity and changes with a header."""
     rows = deltas.select(F.col("label").alias("Entity"), F.col("precision_change").alias("Precision Change"), F.col("recall_change").alias("Recall Change"), F.col("f1_change").alias("F1 Change"))

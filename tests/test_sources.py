@@ -41,9 +41,9 @@ def test_articles_and_stream(spark, tmp_path):
 
 
 def test_sample_and_vocabulary(spark, tmp_path):
-    sample = spark.createDataFrame([(1, "A b", "x\ny")], "ordinal int, Title string, Cleaned_Text string")
-    corpus.write_sample(sample, f"{tmp_path}/s", "fi")
-    lines = corpus.sample_lines(spark.read.parquet(f"{tmp_path}/s")).orderBy("line_no").collect()
+    sample = spark.createDataFrame([("fi", 1, "A b", "x\ny")], "lang string, ordinal int, Title string, Cleaned_Text string")
+    corpus.write_sample(sample, f"{tmp_path}/s", "lang")
+    lines = corpus.sample_lines(spark.read.parquet(f"{tmp_path}/s"), ["lang"]).orderBy("line_no").collect()
     assert [r["text"] for r in lines] == ["Title: A b", "x", "y", ""]
     corpus.write_vocabulary(spark.createDataFrame([(1, "b"), (0, "a")], "id int, token string"), f"{tmp_path}/v")
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/v").collect()] == ["0\ta", "1\tb"]
@@ -107,21 +107,75 @@ def test_delta_files(spark, tmp_path):
     assert results.read_deltas(spark, {}).count() == 0
 
 
-GOLD = os.environ.get("GOLDEN_CONLL", "")
+SMALL = "Talo\tB-LOC\non\tO\nuusi\tO\n\nKavumäki\tB-LOC\njärvi\tI-LOC\n\n<HEADLINE>\na\tO\nyö\tO\n\nolut\tB-PRO\n"
+# Tokens and sentences; support by strategy; words shorter than each window; support of 5grams if empty sentences shift the pairs.
+EXPECTED = {
+    "small": (8, 4, {"Word": 8, "Char": 30, "Bigrams": 22, "Trigrams": 15, "4grams": 10, "5grams": 5}, {2: 1, 3: 3, 4: 3, 5: 6}, 0),
+    "GOLDEN_CONLL": (
+        36503, 2342, {"Word": 36503, "Char": 240504, "Bigrams": 204001, "Trigrams": 173089, "4grams": 144506, "5grams": 117702}, {2: 5591, 3: 7920, 4: 9699, 5: 12585}, 98044,
+    ),
+}
 
 
-@pytest.mark.skipif(not os.path.exists(GOLD), reason="GOLDEN_CONLL names no file")
-def test_golden_dataset(spark):
+@pytest.mark.parametrize("name", ["small", *(["GOLDEN_CONLL"] if os.environ.get("GOLDEN_CONLL") else [])])
+def test_known_numbers(spark, tmp_path, name):
     from tavuflow.operators import tokenize as K
-
-    tokens = conll.read_conll(spark, GOLD)
-    assert tokens.count() == 36503 and tokens.select("sent_id").distinct().count() == 2342
-    support = {r["strategy"]: r["support"] for r in K.support(tokens, "word", []).collect()}
-    assert support == {"Word": 36503, "Char": 240504, "Bigrams": 204001, "Trigrams": 173089, "4grams": 144506, "5grams": 117702}
-    assert {r["n"]: r["vanished"] for r in K.vanished(tokens, "word", []).collect()} == {2: 5591, 3: 7920, 4: 9699, 5: 12585}
-    sizes = tokens.groupBy("sent_id").agg(F.sum(F.greatest(F.char_length("word") - 4, F.lit(0))).alias("k"))
     from tavuflow.operators.sequences import paired
 
+    (tmp_path / "small").write_text(SMALL)
+    n, sentences, supports, vanished, shifted = EXPECTED[name]
+    tokens = conll.read_conll(spark, os.environ[name] if name != "small" else f"{tmp_path}/small")
+    assert tokens.count() == n and tokens.select("sent_id").distinct().count() == sentences
+    assert {r["strategy"]: r["support"] for r in K.support(tokens, "word", []).collect()} == supports
+    assert {r["n"]: r["vanished"] for r in K.vanished(tokens, "word", []).collect()} == vanished
+    sizes = tokens.groupBy("sent_id").agg(F.sum(F.greatest(F.char_length("word") - 4, F.lit(0))).alias("k"))
     have = sizes.filter("k > 0")
     pairs = paired(tokens, have, "sent_id", "compat").join(have.select(F.col("sent_id").alias("embedded_sent"), F.col("k").alias("a")), "embedded_sent").join(sizes, "sent_id")
-    assert pairs.agg(F.sum(F.least("a", "k"))).first()[0] == 98044
+    assert pairs.agg(F.sum(F.least("a", "k"))).first()[0] == shifted
+
+
+def test_large_files_are_split(spark, tmp_path):
+    """Line numbers and pages do not depend on where a file is cut."""
+    lines = [f"sana{i}\tO" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "a.conll").write_text("\r\n".join(lines) + "\r\n")
+    pages = [f"<page><title>t{i}</title><revision><id>{i if i % 10 else 'x'}</id><text>{'sana ' * (i % 40)}</text></revision></page>" for i in range(400)]
+    (tmp_path / "plain.xml").write_text("\n".join(pages))
+    (tmp_path / "packed.xml.bz2").write_bytes(bz2.compress("".join(f"<mediawiki>{p}</mediawiki>" for p in pages).encode()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = conll.file_lines(spark, f"{tmp_path}/a.conll")
+        assert rows.rdd.getNumPartitions() > 3
+        assert [(r["line_no"], r["line"]) for r in rows.orderBy("line_no").collect()] == [*enumerate(lines)]
+        for name in ("plain.xml", "packed.xml.bz2"):
+            got = wiki.read_pages(spark, f"{tmp_path}/{name}")
+            counted = wiki.page_counts(got).first()
+            assert (counted["pages"], counted["skipped"]) == (400, 40)
+            assert {r["title"] for r in got.filter("_corrupt_record is null").collect()} == {f"t{i}" for i in range(400) if i % 10}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_failed_overwrite_loses_nothing(spark, tmp_path):
+    spark.createDataFrame([("a",)], "value string").write.text(f"{tmp_path}/o")
+
+    def fails(df, path):
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        conll.overwrite(spark, spark.read.text(f"{tmp_path}/o"), f"{tmp_path}/o", fails)
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/o").collect()] == ["a"]
+    with pytest.raises(OSError):  # nothing was written beside it: the old one comes back
+        conll.overwrite(spark, spark.read.text(f"{tmp_path}/o"), f"{tmp_path}/o", lambda df, path: None)
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/o").collect()] == ["a"]
+
+
+def test_kept_tables(spark):
+    import uuid
+
+    from tavuflow.session import keyed
+
+    calls = []
+    build = lambda: calls.append(1) or spark.range(3)
+    name = uuid.uuid4().hex
+    assert [keyed(spark, name, {"lang": "fi", "run": r}, build).count() for r in ("1", "1", "2")] == [3, 3, 3] and len(calls) == 2
