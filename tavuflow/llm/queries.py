@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavuflow.llm import budget, bytebpe, langnames, language, lookalike, neardup, packing, quality, sentences, terms
+from tavuflow.llm import budget, bytebpe, langnames, language, lookalike, neardup, packing, quality, sentences, terms, unigram
 from tavuflow.session import bounded, materialize, table
 
 CAPACITY = 2048
@@ -61,6 +61,14 @@ def p7_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.budget(counted, "article_id", "n_tokens", ["source", "language", "topic"])
 
 
+def p7_unigram_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The same by best paths over the pieces of a vocabulary that has scores."""
+    articles = table(spark, d, "articles").select("article_id", "source", langnames.language_code(F.col("lang")).alias("language"), "topic", "Cleaned_Text")
+    trie = unigram.DoubleArrayTrie(*unigram.scored_pieces(f"{bytebpe.DEFAULT_DIR}/piece_bpe_32k.model"))
+    counted = materialize(unigram.counts(articles, "Cleaned_Text", trie), "counts")
+    return budget.budget(counted, "article_id", "n_tokens", ["source", "language", "topic"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.token_ids(table(spark, d, "documents").select("doc_id", "text"), "text", bytebpe.vocabulary_path())
 
@@ -124,5 +132,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups, p10_sentences]
+    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p7_unigram_budget, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups, p10_sentences]
     return {f.__name__: f for f in found}

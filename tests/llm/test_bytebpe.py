@@ -83,22 +83,37 @@ def test_packing_edges(spark):
         pack(spark, [1], 0)
 
 
-def test_unigram_count_is_the_best_path(spark, rnd):
-    pieces = {"▁a": -1.0, "▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁ab": -2.2, "bab": -3.5, "abab": -6.0}
-    trie = unigram.DoubleArrayTrie(pieces)
-
-    def brute(text):
-        best = {0: (0.0, 0)}
-        for i in range(len(text)):
-            score, n = best[i]
-            steps = [(i + len(p), s) for p, s in pieces.items() if text.startswith(p, i)] + [(i + 1, -100.0)]
-            for j, s in steps:
-                new = (score + s, -(n + 1))
-                if j not in best or new > (best[j][0], -best[j][1]):
-                    best[j] = (score + s, n + 1)
-        return best[len(text)][1]
-
-    texts = ["▁" + "".join(rnd.choice("abx") for _ in range(rnd.randrange(9))) for _ in range(200)]
-    assert [trie.count(t, -100.0) for t in texts] == [brute(t) for t in texts]
-    df = spark.createDataFrame([(1, "ab ba"), (2, None), (3, "")], "id long, t string")
-    assert [r["n_tokens"] for r in unigram.counts(df, "t", pieces).orderBy("id").collect()] == [brute("▁ab") + brute("▁ba"), 0, 0]
+def best(pieces, segment, unknown, cost):
+    """Brute force over ends: score and pieces of the best path, ties by fewer pieces."""
+    at = [(0.0, 0)] + [(-1e300, 0)] * len(segment)
+    for i in range(len(segment)):
+        ends = [(i + 1, unknown, cost(segment[i]))] + [(j, pieces[segment[i:j]], 1) for j in range(i + 1, len(segment) + 1) if segment[i:j] in pieces]
+        for j, score, n in ends:
+            new = (at[i][0] + score, at[i][1] + n)
+            if (new[0], -new[1]) > (at[j][0], -at[j][1]):
+                at[j] = new
+    return at[-1][1]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_count_is_the_best_path(spark, rnd, fallback, monkeypatch):
+    monkeypatch.setattr(unigram, "STEP_CHARACTERS", 200)
+    pieces = {c: -rnd.uniform(2, 6) for c in "abc▁"}
+    pieces |= {"".join(rnd.choice("abc▁") for _ in range(rnd.randrange(2, 6))): -rnd.uniform(1, 8) for _ in range(60)} | {"▁" + x: -3.0 for x in ("a", "ab")}
+    trie = unigram.DoubleArrayTrie(pieces, fallback)
+    texts = [" ".join("".join(rnd.choice("abcé湖") for _ in range(rnd.randrange(1, 14))) for _ in range(rnd.randrange(6))) for _ in range(150)]
+    texts += [None, "", " \n ", "ab" * 3000, "ab ba", "ab ba"]
+    cost = lambda c: len(c.encode()) if fallback else 1
+    expected = [sum(best(pieces, "▁" + w, trie.unknown, cost) for w in (t or "").split()) for t in texts]
+    own = unigram.Counter(trie)
+    assert own.count(pa.array(texts)).tolist() == expected == own.count(pa.array(texts)).tolist()
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "id long, t string, n_tokens string").repartition(3)
+    assert [r["n_tokens"] for r in unigram.counts(df, "t", trie).orderBy("id").collect()] == expected
+    assert unigram.counts(df.limit(0), "t", trie).count() == 0
+
+
+def test_scored_pieces():
+    scores, fallback = unigram.scored_pieces(f"{bytebpe.DEFAULT_DIR}/piece_bpe_32k.model")
+    assert fallback and len(scores) == 32000 - 3 - 256 and scores["▁t"] > scores["om"] > scores["ң"]
+    counter = unigram.Counter(unigram.DoubleArrayTrie(scores, fallback))
+    assert counter.count(pa.array(["Hello", "Hello Hello", None, "\U0010fffd"])).tolist() == [1, 2, 0, 5]
