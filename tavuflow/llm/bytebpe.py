@@ -9,6 +9,7 @@ Defined results: null and empty texts give the empty list; names of special toke
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -46,8 +47,10 @@ class Vocabulary:
     """Merges as an open-addressed table from (left id, right id) to rank and merged id."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        with open(path, "rb") as f:
+            content = f.read()
+        self.digest = hashlib.md5(content).hexdigest()
+        model = json.loads(content)["model"]
         vocab = model["vocab"]
         self.byte_ids = np.zeros(256, np.int32)
         for name, byte in _byte_names().items():
@@ -146,8 +149,8 @@ def piece_starts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes blocks of texts; keeps the ids of pieces it has met."""
 
-    def __init__(self, path: str) -> None:
-        self.vocab = vocabulary(path)
+    def __init__(self, vocab: Vocabulary | str) -> None:
+        self.vocab = vocabulary(vocab) if isinstance(vocab, str) else vocab
         self._reset()
 
     def _reset(self) -> None:
@@ -292,10 +295,15 @@ def _update(tree: np.ndarray, leaves: int, rows: np.ndarray, place: np.ndarray,
         node >>= 1
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each worker process: what it has learnt serves the later tasks too."""
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocab: Vocabulary) -> Encoder:
+    """One for each worker process and vocabulary: what it has learnt serves the later tasks too."""
+    if vocab.digest not in _encoders:
+        _encoders.clear()
+        _encoders[vocab.digest] = Encoder(vocab)
+    return _encoders[vocab.digest]
 
 
 def vocabulary_path(name: str = DEFAULT_NAME, folder: str = DEFAULT_DIR) -> str:
@@ -306,9 +314,10 @@ def token_ids(df: DataFrame, text: str, path: str, into: str = "ids", keep: list
     """The columns keep (default: all but text) and into: the token ids of text, [] for null and empty texts."""
     names = [c for c in (df.columns if keep is None else keep) if c != into and (keep is not None or c != text)]
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(into, T.ArrayType(T.IntegerType()))])
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))  # bounded by the vocabulary: only the driver reads the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(shared.value)
         for batch in batches:
             for part in blocks(batch, text):
                 ids, offsets = own.encode(part.column(text))
@@ -322,9 +331,10 @@ def token_counts(df: DataFrame, text: str, path: str, into: str = "n_tokens", ke
     """The columns keep (default: all but text) and into: the number of tokens of text, 0 for null and empty texts."""
     names = [c for c in (df.columns if keep is None else keep) if c != into and (keep is not None or c != text)]
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(into, T.LongType())])
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))  # bounded by the vocabulary: only the driver reads the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(shared.value)
         for batch in batches:
             for part in blocks(batch, text):
                 counts = pa.array(own.count(part.column(text)))

@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from tavuflow.llm.codepoints import assigned, blocks, to_arrow, to_codes, valid_rows
 from tavuflow.session import bounded, materialize
 
-# Letters of other scripts that are drawn like a Latin one, and the Latin letters.
+# Letters of other scripts that are drawn like a Latin one, and the Latin letters. Cyrillic, Greek, Armenian, Latin
+# variants, then Cherokee, Lisu and Coptic.
 ALIKE = {
     "АВЕКМНОРСТХУІЅЈԚԜӀӘ": "ABEKMHOPCTXYISJQWIƏ",
     "аеорсухіѕјһԁԛԝӏә": "aeopcyxisjhdqwlə",
@@ -32,6 +33,9 @@ ALIKE = {
     "ՕօհոսցԼ": "OohnugL",
     "ɡɑ": "ga",
     "ǝƎ": "əƎ",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴ": "DRTAJEWMHGZRWVSLCPKB",
+    "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPdDTGKJCZFMNLSRVHWXYAEIOU",
+    "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ": "HIKMNOPCTYXopc",
     "‐‑": "--",
     "µ": "μ",
 }
@@ -62,7 +66,8 @@ def _expansion(cp: int) -> str:
         return ch
     kind, *parts = mapping.split() if mapping[0] == "<" else ("", *mapping.split())
     ligature = kind == "<compat>" and category[0] == "L" and len(parts) > 1 and parts[0] != "0020"
-    if kind and kind not in SAME_LOOK and not ligature:
+    roman = kind == "<compat>" and category == "Nl"
+    if kind and kind not in SAME_LOOK and not ligature and not roman:
         return ch
     return "".join(_expansion(int(p, 16)) for p in parts)
 

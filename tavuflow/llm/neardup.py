@@ -306,7 +306,7 @@ def near_duplicates(
     per: int = PER_SKETCH,
     verify: str = "jaccard",
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, fp, fp2) has the class of each record, classes being texts of the same words;
+    """(members, links): members (id, fp, fp2, n_words) has the class of each record, classes being texts of the same words;
     links (fp_a, fp2_a, fp_b, fp2_b, similarity, edits) the pairs of classes at or above threshold, each once, where edits is
     null if they are more than the band holds.
 
@@ -322,10 +322,10 @@ def near_duplicates(
         keys = np.concatenate([sketches(values, offsets, ordered, per), sketches(own, at, free, per, ordered=False)], axis=1)
         bits = bit_sets(own, at)
         lists = [_lists(x.ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in (keys, bits)]
-        return [pa.array(np.diff(at)), lists[1], lists[0]]
+        return [pa.array(np.diff(word_offsets)), pa.array(np.diff(at)), lists[1], lists[0]]
 
-    scanned = materialize(_scan(df, key, text, k, min_words, "n bigint, bits array<bigint>, sketch array<bigint>", sketched), "sketches")
-    members = scanned.select("id", "fp", "fp2")
+    scanned = materialize(_scan(df, key, text, k, min_words, "n_words bigint, n bigint, bits array<bigint>, sketch array<bigint>", sketched), "sketches")
+    members = scanned.select("id", "fp", "fp2", "n_words")
     heads = members.groupBy("fp", "fp2").agg(F.min("id").alias("id"))
     own = bounded(heads.select("id", "fp"))
     rows = scanned.select("id", "fp", "sketch").join(own, ["id", "fp"], "left_semi").select("fp", F.explode("sketch").alias("key"))

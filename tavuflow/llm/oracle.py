@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from tavuflow.llm.lookalike import ALIKE
+from tavuflow.llm.quality import TERMINAL
+from tavuflow.plans.tokens import SQL_SPACE as _TRIM
 
+TERMINAL_SQL = TERMINAL.replace("'", "''")
 _SPACES = r"[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 _TERMS = rf"""
@@ -45,16 +48,45 @@ union all select 'text', x.article_id, y.article_id from a x join a y on x.form
 """
 
 _P6 = f"""
-with w as (select article_id, list_filter(regexp_split_to_array(lower({form('Cleaned_Text')}), '{_SPACES}'), lambda x: x <> '') as ws from articles where Cleaned_Text is not null),
+with recursive w as (select article_id, list_filter(regexp_split_to_array(lower({form('Cleaned_Text')}), '{_SPACES}'), lambda x: x <> '') as ws from articles where Cleaned_Text is not null),
 s as (select article_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as sh from w where len(ws) >= 20),
 e as (select article_id, len(sh) as n, unnest(sh) as k from s),
-met as (select x.article_id as a, y.article_id as b, x.n as na, y.n as nb, count(*) as c from e x join e y on x.k = y.k and x.article_id < y.article_id group by all)
-select a as article_id_a, b as article_id_b from met where c * 2 >= na + nb - c
+met as (select x.article_id as a, y.article_id as b, x.n as na, y.n as nb, count(*) as c from e x join e y on x.k = y.k and x.article_id < y.article_id group by all),
+near as (select a, b from met where c * 2 >= na + nb - c)
+"""
+
+_P6_GROUPS = (
+    _P6
+    + """
+, ways as (select a, b from near union all select b, a from near),
+names as (select article_id as id, article_id as least from s union select r.id, b.b from names r join ways b on b.a = r.least),
+groups as (select id, min(least) as least from names group by id),
+text as (select article_id, array_to_string(ws, ' ') as t from w where len(ws) >= 20),
+degree as (select x.article_id as id, count(distinct y.t) as n from ways join text x on x.article_id = a join text y on y.article_id = b where x.t <> y.t group by all)
+select g.id as article_id, g.least as group_id, coalesce(n, 0) as n_links from groups g left join degree d on d.id = g.id"""
+)
+
+_LINES = rf"""
+with f as (select article_id, lower(replace({form('Cleaned_Text')}, 'İ', 'i̇')) as x from articles),
+l as (select article_id, unnest(str_split(x, chr(10))) as line from f),
+q as (select article_id, line, regexp_extract_all(line, '[\p{{L}}\p{{M}}]+') as ws, regexp_replace(line, '[{_SPACES[1:-2]}]+$', '') as trimmed from l where regexp_matches(line, '[^{_SPACES[1:-2]}]')),
+c as (select article_id, sum(length(line))::bigint as n_chars, count(*) as n_lines, sum(len(ws))::bigint as n_words, sum(list_sum(list_transform(ws, lambda w: length(w)))) as letters,
+        sum(length(regexp_replace(line, '[^\p{{Nd}}]', '', 'g'))) as digits, count(*) filter (where contains('{TERMINAL_SQL}', right(trimmed, 1))) as ends from q group by article_id),
+t as (select article_id, regexp_replace(Title, '^{_TRIM}|{_TRIM}$', '', 'g') as t, regexp_replace(Cleaned_Text, '^{_TRIM}|{_TRIM}$', '', 'g') as x from articles)
+select a.article_id, coalesce(n_chars, 0) as n_chars, coalesce(n_lines, 0) as n_lines, coalesce(n_words, 0) as n_words, round(coalesce(letters, 0) / greatest(coalesce(n_words, 0), 1), 6) as mean_word_length,
+  round(coalesce(digits, 0) / greatest(coalesce(n_chars, 0), 1), 6) as digit_ratio, round(coalesce(ends, 0) / greatest(coalesce(n_lines, 0), 1), 6) as ending_share,
+  coalesce(len(list_filter(regexp_split_to_array(t, '{_TRIM}'), lambda w: w <> '')), 0) as title_words, coalesce(length(t), 0) as title_chars,
+  coalesce(t <> '' and starts_with(x, t), false) as title_first, coalesce(t <> '' and contains(x, t), false) as title_in_text
+from articles a left join c using (article_id) join t using (article_id)
 """
 
 SQL = {
     "p3_found": _P3,
     "p5_found": _TERMS + "select scope, term, mark from marked where mark is not null",
     "p5_term_counts": _TERMS + "select scope, term, n, records, mark from marked",
-    "p6_found": _P6,
+    "p6_found": _P6 + " select a as article_id_a, b as article_id_b from near",
+    "p6_groups": _P6_GROUPS,
+    "p1_text_counts": _LINES,
+    "p3_consistent_text": f"select article_id, {form('Cleaned_Text')} as consistent from articles",
+    "p3_consistent_words": f"select distinct token_id, word, {form('word')} as consistent from ner_tokens",
 }

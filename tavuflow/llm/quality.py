@@ -29,8 +29,6 @@ from tavuflow.session import materialize
 TYPES = ("prose", "list", "table", "junk")
 #: A word is common if it stands in this share of a label's texts, and in structured lines for at most that share of its uses.
 COMMON_SHARE, STRUCTURED_SHARE = 0.15, 0.03
-#: Words in less than this share of a partition's texts of a label are not counted there: an error of at most this share.
-LOSS = 0.01
 #: And if it stands in so many texts, where a label's are so few that the share means less.
 LEAST_SEEN = 2
 
@@ -225,7 +223,8 @@ class Lines:
 
 
 def common_words(df: DataFrame, text: str, label: Column) -> tuple[np.ndarray, list[str]]:
-    """Sorted hashes of the common words of all labels, and the labels that have such words. The driver gets at most 1 / LOSS times a text's words of each label."""
+    """Sorted hashes of the common words of all labels, and the labels that have such words. Every word of every task is counted;
+    the driver gets the common ones, at most 1 / COMMON_SHARE times a text's words of each label."""
     rows = df.select(F.coalesce(label, F.lit("")).alias("label"), F.col(text).alias("text")).filter("text is not null")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,15 +255,13 @@ def common_words(df: DataFrame, text: str, label: Column) -> tuple[np.ndarray, l
                     first = np.zeros(len(hashes), bool)
                     first[order[new]] = True
                     counts = [np.bincount(back, w, minlength=len(keys)) for w in (first, sentence[own], structured[own])]
-                    # A word far below the share in a block may still count elsewhere: only the task's total decides.
                     held.setdefault(name, []).append((keys, *counts))
                     if len(held[name]) > 8:
                         held[name] = squeeze(held[name])
         for name, parts in held.items():
             word, seen, plain, structured = squeeze(parts)[0]
-            keep = seen >= max(1.0, LOSS * texts[name])
-            ids = np.append(word[keep].view(np.int64), 0)
-            counts = [np.append(x[keep], tail).astype(np.int64) for x, tail in ((seen, texts[name]), (plain, 0), (structured, 0))]
+            ids = np.append(word.view(np.int64), 0)  # 0 stands for the number of texts
+            counts = [np.append(x, tail).astype(np.int64) for x, tail in ((seen, texts[name]), (plain, 0), (structured, 0))]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids), *map(pa.array, counts)], ["label", "word", "seen", "plain", "structured"])
 
     counted = rows.mapInArrow(scan, "label string, word bigint, seen bigint, plain bigint, structured bigint")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavuflow.functions import text as T
 from tavuflow.llm import budget, bytebpe, langnames, language, lookalike, neardup, packing, quality, sentences, terms, unigram
 from tavuflow.session import bounded, materialize, table
 
@@ -47,12 +49,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.record_pairs(members, links).select(F.col("id_a").alias("article_id_a"), F.col("id_b").alias("article_id_b"))
 
 
-def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+def _near_articles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     members, links = neardup.near_duplicates(table(spark, d, "articles"), "article_id", "Cleaned_Text")
-    links = materialize(links, "links")
-    named = neardup.groups(members, links).withColumnRenamed("id", "article_id")
+    return members, materialize(links, "links")
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """article_id, group_id (the least article_id of its group) and n_links (texts that its text is linked with, copies aside)."""
+    members, links = _near_articles(spark, d)
+    named = materialize(neardup.groups(members, links).withColumnRenamed("id", "article_id"), "groups")
+    least = named.groupBy("group_id").agg(F.min("article_id").alias("_least"))
     degree = links.select("fp_a", "fp2_a").union(links.select("fp_b", "fp2_b")).toDF("fp", "fp2").groupBy("fp", "fp2").agg(F.count("*").alias("n_links"))
-    return named.join(members.join(degree, ["fp", "fp2"], "left").select(F.col("id").alias("article_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "article_id")
+    counted = members.join(bounded(degree), ["fp", "fp2"], "left").select(F.col("id").alias("article_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return named.join(bounded(least), "group_id").select("article_id", F.col("_least").alias("group_id")).join(counted, "article_id").distinct()
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links between different texts, each named by its least article: Jaccard similarity, and the edits of the alignment with
+    the edit similarity that follows (null if they are more than the band holds)."""
+    members, links = _near_articles(spark, d)
+    heads = bounded(members.groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.min("n_words").alias("n_words")))
+    for s in "ab":
+        links = links.join(heads.toDF(f"fp_{s}", f"fp2_{s}", f"id_{s}", f"words_{s}"), [f"fp_{s}", f"fp2_{s}"])
+    edit = 1 - F.col("edits") / F.greatest("words_a", "words_b")
+    return links.select(F.least("id_a", "id_b").alias("article_id_a"), F.greatest("id_a", "id_b").alias("article_id_b"), "similarity", "edits", edit.alias("edit_similarity"))
 
 
 def p7_token_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -87,9 +107,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_articles(spark, d).filter("n_lines > 0 and prose < 0.5").select("article_id").distinct()
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """What a title tells: its words and characters, and whether the text begins with it or holds it."""
+    title, text = (T.strip(F.col(c)) for c in ("Title", "Cleaned_Text"))
+    known = F.coalesce(title != "", F.lit(False))
+    place = F.coalesce(F.expr("locate(_title, _text)"), F.lit(0))
+    rows = table(spark, d, "articles").select("article_id", F.col("Title").alias("title"), title.alias("_title"), text.alias("_text"), known.alias("_known"))
+    return rows.select(
+        "article_id", "title",
+        F.coalesce(F.size(T.words(F.col("_title"))), F.lit(0)).cast("long").alias("title_words"),
+        F.coalesce(F.char_length("_title"), F.lit(0)).cast("long").alias("title_chars"),
+        (F.col("_known") & (place == 1)).alias("title_first"),
+        (F.col("_known") & (place > 0)).alias("title_in_text"),
+    )
+
+
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
-    titles = table(spark, d, "articles").select("article_id", F.col("Title").alias("title"))
-    return typed_articles(spark, d).join(titles, "article_id")
+    return typed_articles(spark, d).join(_titles(spark, d), "article_id")
+
+
+def p1_text_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that need no model: of the text by the operator's scan, of the title beside it."""
+    none = F.lit(None).cast("string")
+    rows = quality.line_patterns(table(spark, d, "articles"), "article_id", "Cleaned_Text", none, np.zeros(0, np.uint64), [])
+    shares = [F.round(c, 6).alias(c) for c in ("mean_word_length", "digit_ratio", "ending_share")]
+    return rows.select(F.col("key").alias("article_id"), "n_chars", "n_lines", "n_words", *shares).join(_titles(spark, d).drop("title"), "article_id")
 
 
 def labelled_articles(spark: SparkSession, d: str) -> DataFrame:
@@ -132,5 +174,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p7_unigram_budget, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups, p10_sentences]
+    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p7_unigram_budget, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups, p6_links, p1_text_counts, p10_sentences]
     return {f.__name__: f for f in found}

@@ -17,6 +17,8 @@ PAIRS = [
     ("Әә", "Əə"),
     ("ﾊﾟ", "パ"),
     ("ạ̈", "ạ̈"),
+    ("ⅣⅫⅰ", "IVXIIi"),
+    ("ᎪᏴꓐꓮⲔⲟ", "ABBAKo"),
 ]
 KEPT = ["m²", "ı", "İ", "é", "e", "Ab", "“x”", "½", "a\nb\tc", "한글", "ſ"]
 
