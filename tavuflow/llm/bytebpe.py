@@ -27,6 +27,8 @@ DEFAULT_DIR = "/opt/tokenizers"
 DEFAULT_NAME = "byte_bpe_50k"
 #: Pieces a worker keeps (8 bytes of hash and a few ids each); beyond it, it starts anew.
 CACHE_PIECES = 1_500_000
+#: Leaves of the tree of a long piece.
+LONG_LEAVES = 1024
 _NONE = np.int64(1) << 62
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 _PLACE_BITS = 32
@@ -222,6 +224,12 @@ def encode_pieces(vocab: Vocabulary, codes: np.ndarray, starts: np.ndarray, ends
     level = np.ceil(np.log2(np.maximum(width - 1, 1))).astype(np.int64)
     for power in np.unique(level):
         group = np.flatnonzero(level == power)
+        if 1 << int(power) >= LONG_LEAVES:  # long pieces are few: each by itself, all places of a pair at a time
+            for row in group:
+                ids = _merge_long(vocab, data[first[row] : first[row] + width[row]], 1 << int(power))
+                sizes[row] = len(ids)
+                parts.append((np.array([row]), np.array([len(ids)]), ids))
+            continue
         chunk = max(1, (1 << 20) >> int(power))
         for at in range(0, len(group), chunk):
             rows = group[at : at + chunk]
@@ -285,6 +293,54 @@ def _merge(vocab: Vocabulary, data: np.ndarray, first: np.ndarray, width: np.nda
     return alive.sum(1), ids[alive]
 
 
+def _merge_long(vocab: Vocabulary, data: np.ndarray, leaves: int) -> np.ndarray:
+    """The ids of one long piece. The root's pair is merged at all its places, from the left: a merge makes no pair of its own or
+    a lower rank, as a pair that holds the new symbol was learnt after it. The places are found by going down the tree where the
+    least rank lies; the leaves that change are set together, and their ancestors level by level."""
+    n = len(data)
+    ids = vocab.byte_ids[data].astype(np.int64)
+    right, left = np.arange(1, n + 1), np.arange(-1, n - 1)  # n stands for none
+    tree = np.full(2 * leaves, _NONE)
+
+    def leaf(at: np.ndarray) -> np.ndarray:
+        value = np.full(len(at), _NONE)
+        live = np.flatnonzero(right[at] < n)
+        rank = vocab.rank(ids[at[live]], ids[right[at[live]]])
+        value[live] = np.where(rank == _NONE, _NONE, (rank << _PLACE_BITS) | at[live])
+        return value
+
+    tree[leaves : leaves + n - 1] = leaf(np.arange(n - 1))
+    level = leaves
+    while level > 1:
+        level >>= 1
+        tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+    while tree[1] < _NONE:
+        rank = tree[1] >> _PLACE_BITS
+        node = np.ones(1, np.int64)
+        while node[0] < leaves:
+            node = np.stack([2 * node, 2 * node + 1], 1).ravel()
+            node = node[tree[node] >> _PLACE_BITS == rank]
+        at = node - leaves
+        # Of places that follow each other (the same symbol again and again) every second one is taken.
+        chain = np.append(True, right[at[:-1]] != at[1:])
+        place = np.arange(len(at))
+        at = at[(place - np.maximum.accumulate(np.where(chain, place, 0))) % 2 == 0]
+        gone = right[at]
+        after = right[gone]
+        ids[at], ids[gone], right[at] = vocab.merged[rank], -1, after
+        left[after[after < n]] = at[after < n]
+        before = left[at]
+        changed = np.unique(np.concatenate([at[at < n - 1], before[before >= 0]]))
+        gone = gone[gone < leaves]
+        tree[leaves + gone] = _NONE
+        tree[leaves + changed] = leaf(changed)
+        node = np.unique(np.concatenate([gone, changed]) + leaves >> 1)
+        while node[0]:
+            tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+            node = np.unique(node >> 1)
+    return ids[ids >= 0].astype(np.int32)
+
+
 def _update(tree: np.ndarray, leaves: int, rows: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
     """Point update: set the leaf and recompute its ancestors."""
     node = leaves + place

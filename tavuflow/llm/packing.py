@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tavuflow.session import materialize
+from tavuflow.session import bounded, materialize
 
-#: Items a task ranks at most, about; the salts of a size follow from it, within these bounds.
-ROWS_PER_SALT = 1_000_000
-SALTS = (16, 1024)
+#: Items of a size that are ranked together, about, and the least number of such groups.
+ROWS_PER_SALT, LEAST_SALTS = 1_000_000, 16
 
 
 def plan_packs(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -68,30 +67,31 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     ).select("key", "part", "start_at", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start_at")).alias("n"))
     parts = materialize(parts, "pack")
     total = parts.count()
-    salts = int(min(SALTS[1], max(SALTS[0], total // ROWS_PER_SALT)))
-    parts = parts.withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, part), {salts}) as int)"))
-    cells = parts.groupBy("n", "salt").agg(F.count("*").alias("c")).toPandas().sort_values(["n", "salt"])  # at most capacity x salts
-    histogram = {int(k): int(v) for k, v in cells.groupby("n")["c"].sum().items()}
+    salts = max(LEAST_SALTS, total // ROWS_PER_SALT)
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.lit(salts)))
+    cells = materialize(parts.groupBy("n", "salt").agg(F.count("*").alias("c")), "cells")
+    histogram = {r["n"]: r["c"] for r in cells.groupBy("n").agg(F.sum("c").alias("c")).collect()}  # at most capacity rows
     plan, _ = plan_packs(histogram, capacity)
-    cells["offset"] = cells.groupby("n")["c"].cumsum() - cells["c"]
     span = max(histogram.values(), default=0) + 1
-    offsets = np.zeros((capacity + 1, salts), np.int64)
-    offsets[cells["n"].to_numpy(), cells["salt"].to_numpy()] = cells["offset"].to_numpy()
     order = np.argsort(plan[:, 0] * span + plan[:, 1])
     plan = plan[order]
     keys = plan[:, 0] * span + plan[:, 1]
-    shared = spark.sparkContext.broadcast((offsets, keys, plan))  # bounded by capacity and salts
+    shared = spark.sparkContext.broadcast((keys, plan))  # bounded by capacity: each size is placed in a few ranges
+    # A rank within its salt, and the items of the size in the salts before it: one row for each size and salt.
+    before = Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("n", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     ranked = parts.withColumn("at", F.row_number().over(Window.partitionBy("n", "salt").orderBy("key", "part")) - 1)
+    ranked = ranked.join(bounded(offsets), ["n", "salt"]).withColumn("rank", F.col("at") + F.col("offset"))
     kind = items.schema[key].dataType
     schema = T.StructType([T.StructField("container_id", T.LongType()), T.StructField(key, kind), T.StructField("part", T.IntegerType()), T.StructField("start_at", T.LongType()), T.StructField("n", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, keys, plan = shared.value
+        keys, plan = shared.value
         for batch in batches:
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            rank = batch.column("at").to_numpy(zero_copy_only=False) + offsets[n, batch.column("salt").to_numpy(zero_copy_only=False)]
+            rank = batch.column("rank").to_numpy(zero_copy_only=False)
             row = np.searchsorted(keys, n * span + rank, side="right") - 1
             box = plan[row, 2] + (rank - plan[row, 1]) // plan[row, 3]
             yield pa.RecordBatch.from_arrays([pa.array(box), batch.column("key"), batch.column("part"), batch.column("start_at"), batch.column("n")], schema.names)
 
-    return ranked.select("key", "part", "start_at", "n", "salt", "at").mapInArrow(place, schema)
+    return ranked.select("key", "part", "start_at", "n", "rank").mapInArrow(place, schema)

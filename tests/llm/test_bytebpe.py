@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +38,17 @@ def test_is_the_library(own, library, texts):
 
 def test_long_and_special(own, library):
     both(own, library, ["<|endoftext|> x", "", None, "a" * 4000, " " * 3000, "ทะเลสาบ" * 200, "x" * 50 + "\n\n\n  y", "don't'll 'tis ''s"])
+    rnd = random.Random(3)
+    letters = ["".join(rnd.choice(own_) for _ in range(n)) for own_ in ("etaoinshrd", "ab", "aé湖", "lorem") for n in (1023, 1025, 1026, 6000)]
+    both(own, library, [*letters, "ab" * 3000 + "a", "aab" * 2001, "=" * 5001])
+
+
+def test_a_long_piece_costs_little(own):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("etaoinshrdlucmfw") for _ in range(60_000))
+    began = time.perf_counter()
+    own.count(pa.array([text]))
+    assert time.perf_counter() - began < 8
 
 
 def test_frames(spark, library):
