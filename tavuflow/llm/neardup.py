@@ -326,7 +326,7 @@ def near_duplicates(
 
     scanned = materialize(_scan(df, key, text, k, min_words, "n_words bigint, n bigint, bits array<bigint>, sketch array<bigint>", sketched), "sketches")
     members = scanned.select("id", "fp", "fp2", "n_words")
-    heads = members.groupBy("fp", "fp2").agg(F.min("id").alias("id"))
+    heads = materialize(members.groupBy("fp", "fp2").agg(F.min("id").alias("id")), "heads")
     own = bounded(heads.select("id", "fp"))
     rows = scanned.select("id", "fp", "sketch").join(own, ["id", "fp"], "left_semi").select("fp", F.explode("sketch").alias("key"))
     a, b = rows.alias("a"), rows.alias("b")
@@ -340,8 +340,9 @@ def near_duplicates(
         spare = lambda s: F.col(f"n_{s}") - F.aggregate(f"bits_{s}", F.lit(0), lambda t, x: t + F.bit_count(x))
         pairs = pairs.filter((most + F.least(spare("a"), spare("b"))) * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6)
     pairs = materialize(pairs.select("fp_a", "fp2_a", "fp_b", "fp2_b").distinct(), "candidates")
-    wanted = heads.join(bounded(pairs.select(F.col("fp_a").alias("fp")).union(pairs.select("fp_b")).distinct()), "fp", "left_semi").select("id")
-    texts = df.join(bounded(wanted.withColumnRenamed("id", key).distinct()), key, "left_semi")
+    ends = materialize(pairs.select(F.col("fp_a").alias("fp")).union(pairs.select("fp_b")).distinct(), "ends")
+    wanted = materialize(heads.join(bounded(ends), "fp", "left_semi").select(F.col("id").alias(key)).distinct(), "wanted")
+    texts = df.join(bounded(wanted), key, "left_semi")
     words = _scan(texts, key, text, k, min_words, "words array<bigint>", lambda words, at, *_: [_lists(words, at)])
     words = words.select("fp", "fp2", "words").repartition("fp", "fp2").dropDuplicates(["fp", "fp2"])
     for side in "ab":
