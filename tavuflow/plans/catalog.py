@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tavuflow.plans import evaluation, files, labels, models, parsing, results, tokens
+from tavuflow.plans import evaluation, experiment, files, labels, models, parsing, results, tokens
 
-_MODULES = (tokens, labels, evaluation, results, parsing, models, files)
+_MODULES = (tokens, labels, evaluation, results, parsing, models, files, experiment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

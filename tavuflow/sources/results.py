@@ -57,12 +57,22 @@ def result_json(report: DataFrame, by: list[str]) -> DataFrame:
     return report.groupBy(*by).agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("classification_report"))).alias("json"))
 
 
-def write_results(reports_: DataFrame, path: str) -> None:
-    """A result file for each language, strategy, run and task, in the folders of the file form. Runs are few: their files are
-    written one by one from the driver, on any file system."""
+def run_json(report: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """by and json: a report with the measures of its run (accuracy, sentence_accuracy, train_seconds, epochs) and its labels."""
+    entry = F.struct("label", F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support").alias("m"))
+    rows = report.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("classification_report"), F.array_sort(F.collect_set("label")).alias("labels"))
+    measures = [F.col("accuracy").alias("average_accuracy"), F.col("sentence_accuracy").alias("average_sentence_accuracy"), F.col("train_seconds").alias("training_duration_seconds"), F.col("epochs").alias("average_epochs")]
+    return rows.join(stats, by).select(*by, F.to_json(F.struct(*measures, "classification_report", "labels")).alias("json"))
+
+
+def write_results(reports_: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """A result file for each language, strategy, run and task, in the folders of the file form, with the measures of the run if
+    they are given. Runs are few: their files are written one by one from the driver, on any file system."""
+    by = ["lang", "strategy", "run", "task"]
+    rows = result_json(reports_, by) if stats is None else run_json(reports_, stats, by)
     spark = reports_.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in result_json(reports_, ["lang", "strategy", "run", "task"]).toLocalIterator():
+    for r in rows.toLocalIterator():
         target = jvm.org.apache.hadoop.fs.Path(f"{path}/{r['lang']} Run {r['run']}/{r['lang']} Evaluation/{r['lang']}_{r['strategy']}_{r['task']}_results.json")
         out = target.getFileSystem(conf).create(target, True)
         out.write(bytearray(r["json"].encode()))

@@ -179,3 +179,16 @@ def test_kept_tables(spark):
     build = lambda: calls.append(1) or spark.range(3)
     name = uuid.uuid4().hex
     assert [keyed(spark, name, {"lang": "fi", "run": r}, build).count() for r in ("1", "1", "2")] == [3, 3, 3] and len(calls) == 2
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from tavuflow import __main__ as command
+
+    monkeypatch.setattr(command, "release", lambda spark: None)  # other tests' tables lie there too
+    command.main(["--data", "/root/testdata/sf0.001", "--out", f"{tmp_path}/rows", "--query", "fold_sizes"])
+    assert spark.read.parquet(f"{tmp_path}/rows").count() > 0
+    command.main(["--data", "/root/testdata/sf0.001", "--out", f"{tmp_path}/study", "--mode", "test", "--strategies", "Word", "--run", "7"])
+    stats = results.run_stats(results.read_results(spark, f"{tmp_path}/study")).collect()
+    assert {(r["strategy"], r["run"]) for r in stats} == {("Word", 7)} and all(r["train_seconds"] > 0 and 0 < r["accuracy"] <= 1 for r in stats)
+    with pytest.raises(SystemExit):
+        command.main(["--data", "x"])
