@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 # White space as a word splitter sees it, and characters that a file name must not hold.
 SPACE = "\\t-\\r \\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNSAFE = '[<>:"/\\\\|?*]'
 
 
 def strip(text: Column) -> Column:
     """text without Unicode white space at its ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def words(text: Column) -> Column:

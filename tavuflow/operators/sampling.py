@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavuflow.functions import text as T
-from tavuflow.session import bounded
+from tavuflow.session import bounded, materialize
 
 
 def clean_articles(articles: DataFrame, title: str, text: str) -> DataFrame:
@@ -34,9 +34,10 @@ def tiered_sample(articles: DataFrame, title: str, text: str, order: str, target
     else:
         top = first.orderBy(*rank).limit(target)  # a sampling operator's limit
         chosen = top.withColumn("ordinal", F.row_number().over(Window.orderBy(*rank)))
-    chosen = chosen.select(*[F.col(c).alias(f"_{c}_") for c in by], "_title", "_m", "ordinal")
-    same = (F.col(title) == F.col("_title")) & (F.col("tier") == -F.col("_m.t")) & F.col(order).eqNullSafe(F.col("_m.o"))
+    chosen = materialize(chosen.select(*[F.col(c).alias(f"_{c}_") for c in by], "_title", "_m", "ordinal"), "chosen")
+    same = (F.col(title) == F.col("_title")) & (F.col("tier") == -F.col("_m.t"))
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}_"))
-    joined = tiered.join(bounded(chosen), same).select(*tiered.columns, "ordinal")
-    return joined.dropDuplicates(["ordinal", *by])  # rows of the same title, tier and place
+    # The place alone picks the rows; only those are cleaned again.
+    near = clean_articles(articles.join(bounded(chosen), F.col(order).eqNullSafe(F.col("_m.o"))), title, text).withColumn("tier", size_tier(F.col(text), top_kb))
+    return near.filter(same).select(*tiered.columns, "ordinal").dropDuplicates(["ordinal", *by])  # rows of the same title, tier and place

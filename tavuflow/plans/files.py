@@ -15,7 +15,7 @@ from tavuflow.plans.evaluation import PREDICTED_SQL
 from tavuflow.plans.labels import TAGGED_SQL, clean_tokens, tagged
 from tavuflow.plans.models import VOCABULARY
 from tavuflow.plans.tokens import CLEAN_SQL, SQL_SPACE
-from tavuflow.session import keyed, shared_dir, table
+from tavuflow.session import keyed, shared_dir, spread, table
 from tavuflow.sources import conll, corpus, results, wiki
 
 _TEXT = "Cleaned_Text"
@@ -42,7 +42,7 @@ def _dump(spark: SparkSession, d: str) -> str:
     earlier = F.when(F.col("n_revisions") > 1, earlier).otherwise("")
     last = revision(F.when(F.col("topic").isNull(), "x").otherwise(F.col("article_id").cast("string")), F.coalesce(safe(_TEXT), F.lit("")))
     title = F.coalesce(F.concat(F.lit("<title>"), safe("Title"), F.lit("</title>")), F.lit(""))
-    pages = table(spark, d, "articles").select(F.concat(F.lit("<page>"), title, earlier, last, F.lit("</page>")).alias("value"))
+    pages = spread(table(spark, d, "articles")).select(F.concat(F.lit("<page>"), title, earlier, last, F.lit("</page>")).alias("value"))
     path = _folder(spark, "dump")
     pages.write.option("compression", "bzip2").text(path)
     return path

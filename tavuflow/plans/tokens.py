@@ -42,7 +42,7 @@ def retokenized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiered_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.tiered_sample(table(spark, d, "articles").select("article_id", "pos", "Title", _TEXT), "Title", _TEXT, "pos").select("article_id", "Title", "tier", F.col("ordinal").cast("long").alias("ordinal"))
+    return sampling.tiered_sample(spread(table(spark, d, "articles").select("article_id", "pos", "Title", _TEXT)), "Title", _TEXT, "pos").select("article_id", "Title", "tier", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def tiered_sample_by_source(spark: SparkSession, d: str) -> DataFrame:
