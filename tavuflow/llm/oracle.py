@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tavuflow.llm.bytebpe import _byte_names, vocabulary_path
+from tavuflow.llm.langnames import NAMES
 from tavuflow.llm.lookalike import ALIKE
 from tavuflow.llm.quality import TERMINAL
 from tavuflow.plans.tokens import SQL_SPACE as _TRIM
@@ -80,7 +82,50 @@ select a.article_id, coalesce(n_chars, 0) as n_chars, coalesce(n_lines, 0) as n_
 from articles a left join c using (article_id) join t using (article_id)
 """
 
+
+
+def _encoded(rows: str) -> str:
+    """Common table expressions: pieces (key, place, p) of rows (key, t), and encoded (p, ids) of the distinct pieces, by byte-pair
+    merges in a recursive statement: a symbol stands between two marks, so that a pair is merged by replacing a string."""
+    space = _SPACES[1:-2]
+    names = ", ".join("'" + n.replace("'", "''") + "'" for n, _ in sorted(_byte_names().items(), key=lambda x: x[1]))
+    # White space before a word keeps its last character apart; the pattern itself looks ahead at nothing.
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}\x03]+|[{space}]+".replace("'", "''")
+    return rf"""
+recursive model as (select json_extract(content, '$.model') as m from read_text('{vocabulary_path()}')),
+merges as (select unnest(range(len(ms))) as rank, unnest(ms) as pair from (select from_json(json_extract(m, '$.merges'), '[["VARCHAR"]]') as ms from model)),
+vocab as (select v.key as name, v.value as id from (select unnest(map_entries(from_json(json_extract(m, '$.vocab'), '"MAP(VARCHAR, INTEGER)"'))) as v from model)),
+rows_ as ({rows}),
+split as (select key, regexp_extract_all(regexp_replace(t, '([{space}]+)([{space}][^{space}])', '\1' || chr(3) || '\2', 'g'), '{pattern}') as ps from rows_ where t is not null),
+pieces as (select key, unnest(range(len(ps))) as place, unnest(ps) as p from split),
+begun as (select p, array_to_string(list_transform(regexp_extract_all(hex(encode(p)), '..'), lambda h: chr(1) || ([{names}])[('0x' || h)::int + 1] || chr(2)), '') as s from (select distinct p from pieces)),
+steps as (select p, s, 0 as n from begun union all
+  select p, replace(s, chr(1) || pair[1] || chr(2) || chr(1) || pair[2] || chr(2), chr(1) || pair[1] || pair[2] || chr(2)), n + 1 from (
+    select p, s, n, min_by(merges.pair, merges.rank) as pair
+    from (select p, s, n, unnest(list_transform(list_zip(y[:-2], y[2:]), lambda z: [z[1], z[2]])) as pair from (select p, s, n, regexp_extract_all(s, chr(1) || '([^' || chr(2) || ']*)' || chr(2), 1) as y from steps) where len(y) > 1) x
+    join merges on merges.pair = x.pair group by p, s, n)),
+ended as (select p, regexp_extract_all(arg_max(s, n), chr(1) || '([^' || chr(2) || ']*)' || chr(2), 1) as y from steps group by p),
+encoded as (select p, list(id order by i) as ids from (select p, unnest(range(len(y))) as i, unnest(y) as name from ended) join vocab using (name) group by p)"""
+
+
+_LANGUAGE = f"(map {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{code}{chr(39)}' for code, name in NAMES.items() for k in (code, name))}}})[lower(regexp_replace(lang, '^{_SPACES}|{_SPACES}$', '', 'g'))]"
+_P8 = f"""with {_encoded('select doc_id as key, text as t from documents')},
+found as (select key, flatten(list(ids order by place)) as ids from pieces join encoded using (p) group by key)
+select doc_id, coalesce(ids, []) as ids from documents left join found on key = doc_id
+"""
+_P7 = f"""with {_encoded('select article_id as key, Cleaned_Text as t from articles')},
+found as (select key, sum(len(ids)) as n from pieces join encoded using (p) group by key),
+counted as (select article_id, source, {_LANGUAGE} as language, topic, coalesce(n, 0)::bigint as n from articles left join found on key = article_id)
+select 'document' as level, article_id, source, language, topic, 1::bigint as documents, n as tokens from counted
+union all select 'source', null, source, null, null, count(*), sum(n)::bigint from counted group by source
+union all select 'language', null, null, language, null, count(*), sum(n)::bigint from counted group by language
+union all select 'topic', null, null, null, topic, count(*), sum(n)::bigint from counted group by topic
+union all select 'all', null, source, language, topic, count(*), sum(n)::bigint from counted group by source, language, topic
+"""
+
 SQL = {
+    "p7_token_budget": _P7,
+    "p8_ids": _P8,
     "p3_found": _P3,
     "p5_found": _TERMS + "select scope, term, mark from marked where mark is not null",
     "p5_term_counts": _TERMS + "select scope, term, n, records, mark from marked",
