@@ -141,7 +141,19 @@ QUERIES = {
 }
 _WORDS = f"""with w as (select unnest(list_filter(regexp_split_to_array(lower(replace(Cleaned_Text, 'İ', 'i̇')), '{SQL_SPACE}'), lambda x: x <> '')) as word from articles where Cleaned_Text is not null),
   c as (select word, count(*) as n from w group by word)"""
+# A symbol stands between two marks, so that a pair is merged by replacing a string.
+_SYMBOLS = "regexp_extract_all(s, chr(1) || '([^' || chr(2) || ']*)' || chr(2), 1)"
+_MERGED = f"""{_WORDS.replace('with w as', 'with recursive w as', 1)},
+  merges as (select unnest(range(len(ms))) as rank, unnest(ms) as pair from (select from_json(json_extract(content, '$.model.merges'), '[["VARCHAR"]]') as ms from read_text('{VOCABULARY}'))),
+  steps as (select word, array_to_string(list_transform(range(1, length(word) + 1), lambda i: chr(1) || substring(word, i::int, 1) || case when i = length(word) then '</w>' else '' end || chr(2)), '') as s, 0 as k from c
+    union all
+    select word, replace(s, chr(1) || pair[1] || chr(2) || chr(1) || pair[2] || chr(2), chr(1) || pair[1] || pair[2] || chr(2)), k + 1 from (
+      select word, s, k, min_by(merges.pair, merges.rank) as pair
+      from (select word, s, k, unnest(list_transform(list_zip(y[:-2], y[2:]), lambda z: [z[1], z[2]])) as pair from (select word, s, k, {_SYMBOLS} as y from steps) where len(y) > 1) x
+      join merges on merges.pair = x.pair group by word, s, k)),
+  ended as (select word, arg_max(s, k) as s from steps group by word)"""
 SQL = {
+    "bpe_tokens": f"{_MERGED}, t as (select unnest({_SYMBOLS}) as token, n from ended join c using (word)) select token, sum(n)::bigint as n from t group by token",
     "bpe_corpus": f"{_WORDS} select word, n from c",
     "bpe_pair_counts": f"""{_WORDS}, p as (select unnest(list_transform(range(1, length(word)), lambda i: struct_pack(l := substring(word, i::int, 1), r := substring(word, i::int + 1, 1)))) as p, n from c)
         select p.l as "left", p.r as "right", sum(n)::bigint as n from p group by all""",
