@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavuflow.config import experiments
 from tavuflow.functions import text as T
 from tavuflow.operators import analytics, bpe, embed, metrics, sampling
 from tavuflow.operators import sequences as S
@@ -59,6 +60,17 @@ def dump_counts(spark: SparkSession, d: str) -> DataFrame:
     return wiki.page_counts(wiki.read_pages(spark, _dump(spark, d))).select("pages", "skipped")
 
 
+def wikitext_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Articles' labels set in wikitext of every kind, and what is left of it."""
+    source, topic, key = F.coalesce("source", F.lit("x")), F.coalesce("topic", F.lit("x")), F.col("article_id").cast("string")
+    parts = [
+        "'''", source, "''' {{malli|", topic, "|{{sisä|{{", key, "}}}}}}on [[", source, "|", key, "]]<ref name=a>", topic, "</ref> ja ", "[[", topic, "]].<ref name=a/><!-- ", key, "\n -->\n",
+        "== ", source, " ==\n{| class=x\n|", key, "\n|}[[Luokka:", topic, "]][[Kuva:", key, ".png|thumb|[[", topic, "]]]][https://example.com/", key, " ", topic, "] a&amp;nbsp;b {{ auki",
+    ]
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, d, "articles").select("article_id", wiki.clean_wikitext(text).alias("cleaned"))
+
+
 def article_records(spark: SparkSession, d: str) -> DataFrame:
     """Articles as JSON lines and back; a folder that is not there is no error."""
     path = _folder(spark, "records")
@@ -117,6 +129,14 @@ def conll_filtered_in_place(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(conll.read_conll(spark, path))
 
 
+def conll_two_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Two corpora without a blank line at their ends, read as one."""
+    paths = [_folder(spark, "conll") for _ in range(2)]
+    for i, path in enumerate(paths):
+        conll.write_conll(tagged(spark, d).filter(F.col("sent_id") % 2 == i), path, trailing_blank=False)
+    return _sentences(conll.read_conll(spark, ",".join(paths)))
+
+
 # The forms of the other readers: name, rules and a line of a token.
 _FORMS = {
     "histogram": (conll.HISTOGRAM, lambda w, t: F.concat_ws(" ", w, F.lit("x"), t)),
@@ -207,6 +227,16 @@ def safe_tags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("name", T.safe_tag(F.col("name")).alias("safe"))
 
 
+def strategy_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary size that a strategy's name tells."""
+    return table(spark, d, "reports").select("strategy").distinct().select("strategy", T.vocabulary_size(F.col("strategy")).alias("size"))
+
+
+def trial_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The quick subset of languages and strategies."""
+    return experiments(spark, trial=True)
+
+
 def log_loss_by_fold(spark: SparkSession, d: str) -> DataFrame:
     """The loss of a guess by each label's share of its language."""
     from tavuflow.plans.evaluation import predictions
@@ -238,8 +268,8 @@ def histogram_of_words(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dump_pages, dump_counts, article_records, sample_files, text_lines, tokenized_files, conll_files, conll_filtered_in_place, conll_family, sentence_json_files, result_files,
-        delta_files, vocabulary_files, merges_saved, tokens_kept, exact_split_90_10, equal_folds, safe_tags, log_loss_by_fold, early_stopping, histogram_of_words,
+        dump_pages, dump_counts, wikitext_cleaned, article_records, sample_files, text_lines, tokenized_files, conll_files, conll_two_paths, conll_filtered_in_place, conll_family, sentence_json_files, result_files,
+        delta_files, vocabulary_files, merges_saved, tokens_kept, exact_split_90_10, equal_folds, safe_tags, strategy_sizes, trial_grid, log_loss_by_fold, early_stopping, histogram_of_words,
     )
 }
 
@@ -256,6 +286,11 @@ _GRAM3 = "unnest(list_transform(range(1, length(word) - 1), lambda i: substring(
 SQL = {
     "dump_pages": f"select md5(coalesce({_stripped(_XML.format('Title'))}, '')) as title_md5, md5(coalesce({_stripped(_XML.format('Cleaned_Text'))}, '')) as text_md5 from articles where topic is not null",
     "dump_counts": "select count(*) as pages, count(*) filter (where topic is null) as skipped from articles",
+    "wikitext_cleaned": """with a as (select article_id, coalesce(source, 'x') as s, coalesce(topic, 'x') as t from articles)
+        select article_id, s || ' on ' || article_id || ' ja ' || t || '.' || chr(10) || s || chr(10) || t || ' a&nbsp;b {{ auki' as cleaned from a""",
+    "strategy_sizes": "select distinct strategy, case when regexp_full_match(strategy, 'BPE[0-9]+k') then strategy[4:-2]::int * 1000 end as size from reports",
+    "trial_grid": """select * from (values ('Finnish','fi'),('Swahili','sw'),('Hungarian','hu')) l(lang, code),
+        (values ('Word',0,null::int),('Char',1,null),('Bigrams',2,null),('Trigrams',3,null),('4grams',4,null)) s(strategy, n, vocab)""",
     "article_records": "select md5(Title) as title_md5, md5(Cleaned_Text) as text_md5 from articles",
     "sample_files": f"""with {CLEAN_SQL}, tiers as (select *, least(4, floor(strlen(x) / 1024))::int as tier from clean where t <> '' and x <> ''),
         firsts as (select * from tiers where tier >= 1 qualify row_number() over (partition by source, t order by tier desc, pos) = 1),
@@ -267,6 +302,7 @@ SQL = {
         select md5(line) as line_md5, count(*) as n from l group by all""",
     "tokenized_files": "select nullif(lang, '') as lang, count(*) as lines, sum(coalesce(len(tokens), 0))::bigint as tokens from tokenized where strategy = 'Bigrams' group by all",
     "conll_files": f"with {TAGGED_SQL}, {_FIT}, s as (select sent_id, {_JOINED} as sentence from fit group by sent_id) select sentence, count(*) as n from s group by all",
+    "conll_two_paths": f"with {TAGGED_SQL}, {_FIT}, s as (select sent_id, {_JOINED} as sentence from fit group by sent_id) select sentence, count(*) as n from s group by all",
     "conll_filtered_in_place": f"with {TAGGED_SQL}, {_FIT}, s as (select sent_id, {_JOINED} as sentence from fit group by sent_id having bool_or(tag <> 'O')) select sentence, count(*) as n from s group by all",
     "conll_family": f"""with {TAGGED_SQL} select 'plus' as form, tag, count(*) as n, count(distinct sent_id) as sentences from tagged group by all
         union all select 'tabular', tag, count(*), count(distinct sent_id) from tagged group by all
