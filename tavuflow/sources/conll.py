@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tavuflow.functions.text import strip, words
 from tavuflow.operators.sequences import sentence_ids, sentence_lines
-from tavuflow.session import bounded
+from tavuflow.session import bounded, materialize
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def file_lines(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     splits = rows.groupBy("src_file", "_from").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
     before = Window.partitionBy("src_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("src_file", "_from", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return rows.join(bounded(splits), ["src_file", "_from"]).select("src_file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+    return rows.join(bounded(materialize(splits, "splits")), ["src_file", "_from"]).select("src_file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def parse_lines(lines: DataFrame, rules: Rules = TAGGER, line: str = "line", part: str = "src_file", order: str = "line_no") -> DataFrame:
