@@ -264,6 +264,21 @@ def consistent_form(df: DataFrame, text: str, into: str = "consistent") -> DataF
     return df.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text])]).mapInArrow(run, schema)
 
 
+def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, raw_md5, form_md5) of the rows with a text."""
+    formed = consistent_form(df.select(F.col(key), F.col(text).alias("raw")).filter(F.col("raw").isNotNull()), "raw", "form")
+    return formed.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5("raw")).alias("raw_md5"), F.unhex(F.md5("form")).alias("form_md5"))
+
+
+def same_look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class_id, spellings): one row for each row with a text; class_id is the least id of those that look the same,
+    spellings the number of different strings among them. Digests alone are shuffled, and a crowd costs a row each."""
+    rows = materialize(_digests(df, key, text), "looks")
+    per = rows.groupBy("form_md5", "raw_md5").agg(F.min("id").alias("id")).groupBy("form_md5").agg(F.min("id").alias("class_id"), F.count("*").alias("spellings"))
+    several = materialize(per, "classes")
+    return rows.join(bounded(several), "form_md5").select("id", "class_id", "spellings")
+
+
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (id_a, id_b), the smaller first, of rows whose texts look the same but are different strings.
 
@@ -271,10 +286,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     share it, then joined to their rows: a crowd of exact copies is never compared with itself, and each step's rows are
     bounded by the result's.
     """
-    digests = (
-        consistent_form(df.select(F.col(key), F.col(text).alias("raw")).filter(F.col("raw").isNotNull()), "raw", "form")
-        .select(F.col(key).cast("long").alias("id"), F.unhex(F.md5("raw")).alias("raw_md5"), F.unhex(F.md5("form")).alias("form_md5"))
-    )
+    digests = _digests(df, key, text)
     forms = digests.groupBy("form_md5").agg(F.min("raw_md5").alias("lo"), F.max("raw_md5").alias("hi")).filter("lo <> hi").select("form_md5")
     rows = materialize(digests.join(forms, "form_md5", "left_semi"), "spellings")
     spellings = rows.select("form_md5", "raw_md5").distinct()

@@ -132,6 +132,8 @@ SQL = {
     "p6_found": _P6 + " select a as article_id_a, b as article_id_b from near",
     "p6_groups": _P6_GROUPS,
     "p1_text_counts": _LINES,
+    "p3_text_classes": f"""with a as (select article_id, Cleaned_Text as t, {form('Cleaned_Text')} as f from articles where Cleaned_Text is not null),
+        g as (select f, min(article_id) as class_id, count(distinct t) as spellings from a group by f) select article_id, class_id, spellings from a join g using (f)""",
     "p3_consistent_text": f"select article_id, {form('Cleaned_Text')} as consistent from articles",
     "p3_consistent_words": f"select distinct token_id, word, {form('word')} as consistent from ner_tokens",
 }

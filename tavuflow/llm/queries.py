@@ -21,6 +21,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return words.select(F.lit("word").alias("kind"), "id_a", "id_b").union(texts.select(F.lit("text").alias("kind"), "id_a", "id_b"))
 
 
+def p3_text_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each article with a text, the least article that looks the same, and the number of spellings among them."""
+    return lookalike.same_look_classes(table(spark, d, "articles"), "article_id", "Cleaned_Text").withColumnRenamed("id", "article_id")
+
+
 def p3_consistent_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, d, "articles").select("article_id", "Cleaned_Text"), "Cleaned_Text").select("article_id", "consistent")
 
@@ -174,5 +179,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p7_unigram_budget, p2_languages, p3_consistent_text, p3_consistent_words, p5_term_counts, p6_groups, p6_links, p1_text_counts, p10_sentences]
+    found = [p1_found, p2_found, p3_found, p5_found, p6_found, p7_token_budget, p8_ids, p9_packing, p10_found, p1_statistics, p7_unigram_budget, p2_languages, p3_consistent_text, p3_consistent_words, p3_text_classes, p5_term_counts, p6_groups, p6_links, p1_text_counts, p10_sentences]
     return {f.__name__: f for f in found}

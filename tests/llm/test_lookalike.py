@@ -54,6 +54,13 @@ def test_pairs_of_rows(spark):
     assert sorted(tuple(r) for r in L.same_look_words(df, "id", "t", clean, "id", "t").collect()) == [(2, 10), (6, 11)]
 
 
+def test_classes_of_rows(spark):
+    df = spark.createDataFrame([(1, "talo"), (2, "tal\u043e"), (3, "talo"), (4, None), (5, ""), (6, "\u200b"), (7, "muu"), (7, "muu")], "id long, t string")
+    got = sorted(tuple(r) for r in L.same_look_classes(df, "id", "t").collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (5, 5, 2), (6, 5, 2), (7, 7, 1), (7, 7, 1)]
+    assert L.same_look_classes(df.limit(0), "id", "t").count() == 0
+
+
 def test_a_crowd_of_copies(spark):
     rows = [(i, "talo kylä") for i in range(500)] + [(1000, "talo kylä"), (1001, "talo​ kylä")]
     got = L.same_look_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t")
